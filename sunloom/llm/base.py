@@ -30,6 +30,16 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of ids up to which a side is broadcast (some 100 MB at most); beyond, Spark's joins shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """A kept frame of narrow rows, marked for broadcast if it is counted and found small."""
+    df = keep(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

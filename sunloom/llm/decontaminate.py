@@ -10,19 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import keep, table, words
+from .base import bounded, keep, table, words
 
 #: Words of a window, and of a gram.
 WINDOW, GRAM = 10, 5
-#: Rows of the benchmark's side up to which it is broadcast (some 100 MB at most); beyond, joins shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
-def _bounded(df: DataFrame) -> DataFrame:
-    """A kept frame, marked for broadcast if it is counted and found small."""
-    df = keep(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
 
 def _grams(hashes: Column, k: int) -> Column:
     """The hash of each run of k words, by position; an empty array for fewer words."""
@@ -73,7 +64,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = items.select("item_id", size.alias("size"), F.explode_outer(F.transform(F.sequence(F.lit(0), F.size("words") - size), lambda i: F.array_join(F.slice("words", i + 1, size), " "))).alias("window")).distinct()
     prints = _prints(items, sizes).select(F.least(F.size("words"), F.lit(WINDOW)).alias("own"), F.inline_outer("prints")).where("own = size").select("size", "fp").distinct()
 
-    found = _prints(_tokenized(docs, "doc_id"), sizes).select("doc_id", F.inline_outer("prints")).where("fp IS NOT NULL").join(_bounded(prints), ["size", "fp"])
+    found = _prints(_tokenized(docs, "doc_id"), sizes).select("doc_id", F.inline_outer("prints")).where("fp IS NOT NULL").join(bounded(prints), ["size", "fp"])
     found = found.groupBy("doc_id").agg(F.collect_set(F.struct("size", "fp")).alias("found"))
 
     # Texts meet their fingerprints again; candidate windows are those that hold a gram found.
@@ -89,7 +80,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     none = F.array().cast("array<struct<start:int,size:int,window:string>>")
     back = keep(back.select("doc_id", "row", n.cast("long").alias("n_words"), F.when(F.col("found").isNotNull(), F.concat(*[candidates(k) for k in sizes])).otherwise(none).alias("windows")))
-    hits = back.where(F.size("windows") > 0).distinct().select("doc_id", "row", F.inline("windows")).join(_bounded(windows), ["size", "window"])
+    hits = back.where(F.size("windows") > 0).distinct().select("doc_id", "row", F.inline("windows")).join(bounded(windows), ["size", "window"])
     hits = hits.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     step = lambda a, x: F.struct(

@@ -1,12 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, chat, decontaminate, licenses, token_counts
+from . import bpe, chat, decontaminate, licenses, near_dup, token_counts
 
 QUERIES = {
     "op2_chat": chat.op2_chat,
     "op3_token_counts": token_counts.op3_token_counts,
     "op5_bpe": bpe.op5_bpe,
+    "op7_near_duplicates": near_dup.op7_near_duplicates,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_licenses": licenses.op10_licenses,
 }
-SQL = {"op2_chat": chat.OP2_SQL, "op9_decontamination": decontaminate.OP9_SQL}
+SQL = {"op2_chat": chat.OP2_SQL, "op7_near_duplicates": near_dup.OP7_SQL, "op9_decontamination": decontaminate.OP9_SQL}
