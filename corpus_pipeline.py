@@ -1,18 +1,70 @@
-"""A corpus pipeline of five operators; its stages follow as they are built."""
+"""A corpus pipeline of five operators: toxicity, line dedup, near-dedup, decontamination, BPE encoding and decoding."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sunloom.llm.base import table
+from sunloom.llm.base import shared, table
+from sunloom.llm.bpe import bpe_encode
+from sunloom.llm.decontaminate import leaks
+from sunloom.llm.line_dup import dedup_lines
+from sunloom.llm.near_dup import near_duplicates
+from sunloom.llm.toxicity import scores, training_rows
 
-STAGES: list = []
+#: Documents of this score or more are rejected.
+TOXIC = 0.7
 
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops toxic documents; the others stay as they are."""
+    bad = scores(docs, training_rows(docs, table(spark, sf_dir, "labels"))).where(F.col("score") >= TOXIC)
+    return docs.join(bad, "doc_id", "left_anti")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines that are near copies of an earlier one; every document stays."""
+    return dedup_lines(docs).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies (five-word shingles, similarity 0.8)."""
+    gone = near_duplicates(docs).where("NOT kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that share a window with the benchmark."""
+    bad = leaks(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("doc_id")
+    return docs.join(bad, "doc_id", "left_anti")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document, and the text that they decode to."""
+    return bpe_encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", toxicity), ("line dedup", lines), ("near-dedup", near), ("decontamination", decontaminate), ("bpe", encode)]
+
+#: Classifiers and tokenizers have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents; each result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Writes a frame as Parquet in the checkpoint folder and reads it."""
+    import uuid
+
+    spark = df.sparkSession
+    shared(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

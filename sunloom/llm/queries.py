@@ -1,12 +1,15 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, chat, decontaminate, licenses, near_dup, token_counts
+from . import bpe, chat, decontaminate, licenses, line_dup, near_dup, neighbours, token_counts, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_chat": chat.op2_chat,
     "op3_token_counts": token_counts.op3_token_counts,
     "op5_bpe": bpe.op5_bpe,
+    "op6_neighbours": neighbours.op6_neighbours,
     "op7_near_duplicates": near_dup.op7_near_duplicates,
+    "op8_lines": line_dup.op8_lines,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_licenses": licenses.op10_licenses,
 }
