@@ -1,4 +1,5 @@
-"""Registered queries."""
+"""Registered queries over the event series, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .events import QUERIES, SQL, flagship
+
+__all__ = ["QUERIES", "SQL", "flagship"]
