@@ -1,11 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, chat, decontaminate, licenses, line_dup, near_dup, neighbours, token_counts, toxicity
+from . import bpe, chat, decontaminate, licenses, line_dup, near_dup, neighbours, suffixes, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_chat": chat.op2_chat,
     "op3_token_counts": token_counts.op3_token_counts,
+    "op4_suffixes": suffixes.op4_suffixes,
     "op5_bpe": bpe.op5_bpe,
     "op6_neighbours": neighbours.op6_neighbours,
     "op7_near_duplicates": near_dup.op7_near_duplicates,
