@@ -90,7 +90,7 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
         at, step, width = np.zeros(len(seed)), 0, 8
         while len(seed):
             s = mix(seed[:, None] + _STEP * np.arange(step + 1, step + width + 1, dtype=np.uint64))
-            x = at[:, None] - np.cumsum(np.log1p(-(s >> np.uint64(11)) * 2.0**-53), axis=1) / M
+            x = at[:, None] - np.cumsum(np.log1p((s >> np.uint64(11)) * -(2.0**-53)), axis=1) / M
             hit = x <= most[:, None]
             reg = (s * _ODD >> np.uint64(40)).astype(np.int64) % M
             np.minimum.at(low.reshape(-1), (doc[:, None] * M + reg)[hit], x[hit])
