@@ -36,19 +36,35 @@ def connect(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], fits:
     """(node, component) of the nodes that have a verified link to another node of one of their buckets.
 
     buckets: (key, node, more columns of the node). verify: gives those of the pairs (a, b) that are links. First each
-    node meets only the smallest node of its bucket. Buckets that then still hold more than one component compare the
-    pairs across components, so no link that could join two components is left out; fits is a cheap condition on them.
+    node meets one other, the smallest of all its buckets, which joins most of a large group at a pair a node. Of the
+    buckets that then still hold more than one component, each node meets the smallest node of the smallest component.
+    What is still apart compares the pairs across components, so no link that could join two components is left out;
+    fits is a cheap condition on them.
     """
     ends = buckets.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     shared = keep(buckets.join(ends.select("key", "low"), "key"))
-    pairs = shared.where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = keep(shared.groupBy("node").agg(F.min("low").alias("a")).where("a < node").select("a", F.col("node").alias("b")))
     links = keep(verify(pairs))
-    label = components(links)
-    told = shared.join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component", "low")
-    mixed = told.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key")
-    told = keep(told.join(mixed, "key"))
+    told, label = _mixed(shared.drop("low"), links)
+
+    first = told.groupBy("key").agg(F.min(F.struct("label", "node")).alias("first"))
+    met = told.join(first, "key").where(F.col("label") > F.col("first.label"))
+    met = met.select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    met = keep(met)
+    more = keep(verify(met))
+    links, pairs = links.unionByName(more), pairs.unionByName(met)
+    told, label = _mixed(told.drop("label"), links)
+
     a, b = (told.select(*[F.col(c).alias(c if c == "key" else f"{c}_{x}") for c in told.columns]) for x in "ab")
     across = a.join(b, (a.key == b.key) & (F.col("label_a") < F.col("label_b")) & (fits("_a", "_b") if fits else F.lit(True)))
     across = across.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = keep(verify(across))
     return components(links.unionByName(more)) if more.take(1) else label
+
+
+def _mixed(shared: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows, with a label, of the buckets that hold more than one component of the links; and the components."""
+    label = components(links)
+    told = shared.join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    mixed = told.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("key")
+    return keep(told.join(mixed, "key")), label
