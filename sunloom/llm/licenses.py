@@ -1,7 +1,7 @@
 """Licence scans with a positional index of rare words (operator 10, DataFrame functions only).
 
-Each file looks up its licence words of highest inverse document frequency. Their places meet the postings of licence
-templates; places that agree on the template's relative position are added up. A template counts if enough of its rare
+Each template has postings of its own words of highest inverse document frequency, and a file looks up all words that
+have postings, however many licences it holds. Places that agree on the template's relative position are added up. A template counts if enough of its rare
 words agree and its mandatory key phrase stands at that position. Places of the base phrases are found exactly.
 """
 
@@ -30,7 +30,7 @@ TEMPLATES = [
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     ("proprietary", "copyright all rights reserved", "all rights reserved"),
 ]
-#: Licence words that a file looks up, and the share of a template's rarity that must agree.
+#: Words of a template that have postings, rarest first, and the share of their rarity that must agree.
 LOOKUPS, SHARE = 24, 0.6
 
 
@@ -63,15 +63,15 @@ def scan(docs: DataFrame) -> DataFrame:
     docs has doc_id and text; other columns are neither read nor returned. base has every place (word index from 0) of
     a base phrase, in order; found the templates that the index finds, each at the place where they agree best. A null
     or empty text has none; repeated rows each give a row; an empty table gives none. Ties between places go to the
-    smaller one.
+    smaller one. A file with key phrases costs time in proportion to its licence words.
     """
     spark, weight = docs.sparkSession, idf(docs)
-    by_rarity = sorted(weight, key=lambda w: (-weight[w], w))
     rarest = lambda phrase: min(phrase.split(), key=lambda w: (-weight[w], w))
     keys = sorted({k for _, _, k in TEMPLATES})
     needed = sorted({rarest(k) for k in keys})
     tops = [sorted(set(t.split()), key=lambda w: (-weight[w], w))[:LOOKUPS] for _, t, _ in TEMPLATES]
     postings = [(w, i, at, weight[w]) for i, (_, t, _) in enumerate(TEMPLATES) for at, w in enumerate(t.split()) if w in tops[i]]
+    posted = sorted({p[0] for p in postings})
     total = {i: sum(p[3] for p in postings if p[1] == i) for i in range(len(TEMPLATES))}
     meta = [(i, label, keys.index(k), f" {t} ".index(f" {k} ") and len(t[: f" {t} ".index(f" {k} ")].split()), total[i]) for i, (label, t, k) in enumerate(TEMPLATES)]
     index = F.broadcast(spark.createDataFrame(postings, "word string, tid int, tpos int, idf double"))  # the constants above
@@ -81,14 +81,14 @@ def scan(docs: DataFrame) -> DataFrame:
     tag = lambda column, name, value: F.transform(column, lambda i: F.struct(i.alias("at"), F.lit(value).alias(name)))
     base = F.array_sort(F.concat(*[tag(_places(p, rarest(p)), "label", label) for p, label in BASE.items()]))
     stands = F.concat(*[tag(_places(k, rarest(k)), "key", i) for i, k in enumerate(keys)])
-    top = F.slice(F.array_intersect(F.lit(by_rarity), F.col("words")), 1, LOOKUPS)
+    top = F.array_intersect(F.lit(posted), F.col("words"))
     looked = F.filter(F.transform("words", lambda x, i: F.struct(i.alias("at"), x.alias("word"))), lambda x: F.array_contains(F.col("top"), x["word"]))
     w = w.withColumn("top", top).select(
         "doc_id", "row", F.size("words").cast("long").alias("n_words"), base.alias("base"), stands.alias("stands"),
         F.when(F.arrays_overlap(F.col("top"), F.lit(needed)), looked).otherwise(F.array().cast("array<struct<at:int,word:string>>")).alias("looked"),
     )
     w = keep(w)
-    agree = w.where(F.size("looked") > 0).select("doc_id", "row", "looked", "stands").distinct().select("doc_id", "row", "stands", F.inline("looked"))
+    agree = w.where((F.size("looked") > 0) & (F.size("stands") > 0)).select("doc_id", "row", "looked", "stands").distinct().select("doc_id", "row", "stands", F.inline("looked"))
     agree = agree.join(index, "word").withColumn("start", F.col("at") - F.col("tpos"))
     agree = agree.groupBy("doc_id", "row", "tid", "start").agg(F.sum("idf").alias("sum"), F.first("stands").alias("stands")).join(about, "tid")
     agree = agree.withColumn("score", F.round(F.col("sum") / F.col("total"), 6)).where(
