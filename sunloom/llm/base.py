@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -9,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A run of letters and digits: ASCII alphanumerics and everything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: ASCII characters that are no part of a word: all but letters and digits.
+GAPS = "".join(chr(i) for i in (*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,15 +20,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared(spark: SparkSession) -> None:
-    """Makes sure that checkpoint() has a folder: the cluster's own, or a local one where none is set, as in tests."""
+    """Makes sure that checkpoint() has a folder that all executors share.
+
+    It is the one that the session names in spark.checkpoint.dir. Where none is named, only a local master gets a
+    temporary folder, as in tests; on a cluster that would lose data, so it is an error.
+    """
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sunloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sunloom-"))
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Writes a frame to the shared folder and cuts its lineage; it survives the loss of executors."""
+    """Writes a frame to the shared folder and cuts its lineage; it survives the loss of executors.
+
+    The shuffle files of the steps before it are of no use then, and neither are kept frames that nothing refers to any
+    more. Spark deletes both as soon as the driver's garbage is collected, which is asked for here.
+    """
     shared(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out, spark = df.checkpoint(eager=True), df.sparkSession
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 #: Rows of ids up to which a side is broadcast (some 100 MB at most); beyond, Spark's joins shuffle.
@@ -35,7 +51,7 @@ BROADCAST_ROWS = 1_000_000
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """A kept frame of narrow rows, marked for broadcast if it is counted and found small."""
+    """A kept frame of numbers only, marked for broadcast if it is counted and found small."""
     df = keep(df)
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
@@ -45,8 +61,9 @@ def ascii_lower(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """The ASCII-lower-cased words of a text; null has none."""
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """The words of a text, A-Z in lower case: runs of ASCII letters and digits and all beyond ASCII; null has none."""
+    spaced = F.translate(text, UPPER + GAPS, LOWER + " " * len(GAPS))
+    return F.coalesce(F.array_remove(F.split(spaced, " "), ""), F.array().cast("array<string>"))
 
 
 def map_texts(df: DataFrame, id_col: str, text_col: str, start: Callable[[], Callable[[list[str]], list[pa.Array]]], schema: str) -> DataFrame:

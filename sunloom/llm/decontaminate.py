@@ -53,34 +53,44 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     consecutive words of an item, or all words of an item of 1 to 9. spans is a sorted array of (start word, words) of
     the windows found in the document, items a sorted array of the ids, as strings, of the items that have them, n_hit
     the number of words inside any of the windows. A null or empty text has no words and no hits; an item without words
-    has no windows; repeated rows each give the same row; an empty benchmark gives no hits, an empty table no rows.
+    has no windows; an item without an id counts as the item "". Repeated rows each give the same row, rows without a
+    doc_id are told apart by their texts; an empty benchmark gives no hits, an empty table no rows.
     """
-    items = keep(_tokenized(benchmark.select("item_id", "text"), F.col("item_id").cast("string").alias("item_id")).where(F.size("words") > 0))
+    items = keep(_tokenized(benchmark.select("item_id", "text"), F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id")).where(F.size("words") > 0))
     sizes = sorted(r["size"] for r in items.select(F.least(F.size("words"), F.lit(WINDOW)).alias("size")).distinct().collect())  # ten values at most
+    no_spans, no_items = F.array().cast("array<struct<start:int,size:int>>"), F.array().cast("array<string>")
     if not sizes:
-        none = F.array().cast("array<struct<start:int,size:int>>")
-        return _tokenized(docs, "doc_id").select("doc_id", F.size("words").cast("long").alias("n_words"), none.alias("spans"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_hit"))
+        return _tokenized(docs, "doc_id").select("doc_id", F.size("words").cast("long").alias("n_words"), no_spans.alias("spans"), no_items.alias("items"), F.lit(0).cast("long").alias("n_hit"))
     size = F.least(F.size("words"), F.lit(WINDOW))
-    windows = items.select("item_id", size.alias("size"), F.explode_outer(F.transform(F.sequence(F.lit(0), F.size("words") - size), lambda i: F.array_join(F.slice("words", i + 1, size), " "))).alias("window")).distinct()
+    windows = items.select("item_id", size.alias("size"), F.explode_outer(F.transform(F.sequence(F.lit(0), F.size("words") - size), lambda i: F.array_join(F.slice("words", i + 1, size), " "))).alias("window"))
+    windows = windows.select("item_id", "size", "window", F.xxhash64("window").alias("print")).distinct()
     prints = _prints(items, sizes).select(F.least(F.size("words"), F.lit(WINDOW)).alias("own"), F.inline_outer("prints")).where("own = size").select("size", "fp").distinct()
 
-    found = _prints(_tokenized(docs, "doc_id"), sizes).select("doc_id", F.inline_outer("prints")).where("fp IS NOT NULL").join(bounded(prints), ["size", "fp"])
-    found = found.groupBy("doc_id").agg(F.collect_set(F.struct("size", "fp")).alias("found"))
-
-    # Texts meet their fingerprints again; candidate windows are those that hold a gram found.
-    back = _tokenized(docs.select("doc_id", "text").join(found, "doc_id", "left"), "doc_id", "found", F.xxhash64("text").alias("row"))
+    # One pass over the words: of each document its number of words, in a row of size 0, and the fingerprints found.
+    mark = F.array(F.struct(F.lit(0).alias("size"), F.lit(0).cast("long").alias("fp")))
+    own = _prints(_tokenized(docs, "doc_id", F.xxhash64("text").alias("row")), sizes)
+    own = own.select("doc_id", "row", F.size("words").alias("n"), F.inline_outer(F.concat(mark, "prints")))
+    known = bounded(prints.unionByName(docs.sparkSession.createDataFrame([(0, 0)], "size int, fp long")))
+    seen = keep(own.join(known, ["size", "fp"]))
+    found = seen.where("size > 0").select("doc_id", "row", "size", "fp").distinct()
+
+    # Only texts with fingerprints are read again: each word place whose gram is found, and the windows around it.
+    ids = bounded(found.select("doc_id", "row").distinct()).select(F.col("doc_id").alias("d"), F.col("row").alias("r"))
+    back = docs.select("doc_id", "text", F.xxhash64("text").alias("row")).join(ids, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("row").eqNullSafe(F.col("r"))).select("doc_id", "row", "text").dropDuplicates(["doc_id", "row"])
+    back = keep(_tokenized(back, "doc_id", "row"))
     n = F.size("words")
-
-    def candidates(k: int) -> Column:
+    places = None
+    for k in sizes:
         gram = GRAM if k == WINDOW else k
-        own = F.transform(F.filter("found", lambda x: x["size"] == k), lambda x: x["fp"])
-        at = F.filter(F.transform(_grams(F.col("hashes"), gram), lambda g, i: F.when(F.array_contains(own, g), i)), lambda i: i.isNotNull())
-        starts = F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(F.greatest(i - (k - gram), F.lit(0)), F.least(i, n - k)))))
-        return F.transform(F.filter(starts, lambda s: (s >= 0) & (s <= n - k)), lambda s: F.struct(s.alias("start"), F.lit(k).alias("size"), F.array_join(F.slice("words", s + 1, k), " ").alias("window")))
-
-    none = F.array().cast("array<struct<start:int,size:int,window:string>>")
-    back = keep(back.select("doc_id", "row", n.cast("long").alias("n_words"), F.when(F.col("found").isNotNull(), F.concat(*[candidates(k) for k in sizes])).otherwise(none).alias("windows")))
-    hits = back.where(F.size("windows") > 0).distinct().select("doc_id", "row", F.inline("windows")).join(bounded(windows), ["size", "window"])
+        one = back.select("doc_id", "row", n.alias("n"), F.posexplode(_grams(F.col("hashes"), gram)).alias("i", "fp")).join(known.where(F.col("size") == k).select("fp"), "fp")
+        one = one.select("doc_id", "row", F.lit(k).alias("size"), F.explode(F.sequence(F.greatest(F.col("i") - (k - gram), F.lit(0)), F.least(F.col("i"), F.col("n") - k))).alias("start")) if k == WINDOW else one.select("doc_id", "row", F.lit(k).alias("size"), F.col("i").alias("start"))
+        one = one.where(F.col("start") >= 0)
+        places = one if places is None else places.unionByName(one)
+    starts = places.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "size")).alias("starts")).select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "starts")
+    texts = back.join(starts, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("row").eqNullSafe(F.col("r")))
+    texts = texts.select("doc_id", "row", F.transform("starts", lambda s: F.struct(s["start"].alias("start"), s["size"].alias("size"), F.array_join(F.slice("words", s["start"] + 1, s["size"]), " ").alias("window"))).alias("windows"))
+    hits = texts.select("doc_id", "row", F.inline("windows")).withColumn("print", F.xxhash64("window"))
+    hits = hits.join(windows, ["size", "print", "window"])
     hits = hits.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     step = lambda a, x: F.struct(
@@ -88,8 +98,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         (a["n"] + F.greatest(F.lit(0), x["start"] + x["size"] - F.greatest(a["end"], x["start"]))).alias("n"),
     )
     hits = hits.withColumn("n_hit", F.aggregate("spans", zero, step)["n"])
-    out = back.alias("b").join(hits.alias("h"), F.col("b.doc_id").eqNullSafe(F.col("h.doc_id")) & F.col("b.row").eqNullSafe(F.col("h.row")), "left")
-    return out.select("b.doc_id", "n_words", F.coalesce("spans", F.array().cast("array<struct<start:int,size:int>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"))
+    out = seen.where("size = 0").alias("b").join(hits.alias("h"), F.col("b.doc_id").eqNullSafe(F.col("h.doc_id")) & F.col("b.row").eqNullSafe(F.col("h.row")), "left")
+    return out.select("b.doc_id", F.col("n").cast("long").alias("n_words"), F.coalesce("spans", no_spans).alias("spans"), F.coalesce("items", no_items).alias("items"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
