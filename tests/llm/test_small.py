@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from sunloom.llm.bpe import bpe_encode
 from sunloom.llm.line_dup import dedup_lines
 from sunloom.llm.neighbours import nearest
-from sunloom.llm.toxicity import Trie, features, scores
+from sunloom.llm.toxicity import LONG, Automaton, Lexicon, features, scores
 
 TEXTS = "doc_id long, text string, source string"
 
@@ -49,16 +49,58 @@ def test_lines(spark):
     assert dedup_lines(spark.createDataFrame([], TEXTS)).count() == 0
 
 
-def test_levenshtein_trie():
-    t = Trie({"moron": 3.0, "pathetic": 2.0, "vequ*": 1.0}, {"moron", "pathetic"})
-    assert t.look("moron") == (3.0, 0) and t.look("morron") == (3.0, 1) and t.look("pathetik") == (2.0, 1)
-    assert t.look("vequlle") == (1.0, 0) and t.look("marlin") is None
-    plain, quoted = features(t, "you are a moron"), features(t, 'he said "moron" again')
-    assert plain[0] > 0 == plain[2] and quoted[2] > 0 == quoted[0]
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_automaton_is_plain_edit_distance():
+    rng = random.Random(1)
+    terms = {"".join(rng.choices("abc", k=rng.randint(5, 11))): float(rng.randint(1, 9)) for _ in range(30)}
+    automaton, hits = Automaton(terms), 0
+    for i in range(3000):
+        word = "".join(rng.choices("abcd", k=rng.randint(0, 13)))
+        want = max([0.0, *(v for t, v in terms.items() if edits(t, word) <= (1 if len(t) < LONG else 2))])
+        assert automaton.find(word) == want
+        hits += want > 0
+        if i == 1500:
+            automaton._forget()
+    assert hits > 50
+
+
+def test_lexicon_and_context():
+    lex = Lexicon({"moron": 3.0, "pathetic": 2.0, "vequ*": 1.0, "m" * 30: 2.0}, frozenset(["marons"]))
+    assert lex.look("moron") == (3.0, 0) and lex.look("morron") == (3.0, 1) and lex.look("pathetik") == (2.0, 1)
+    assert lex.look("vequlle") == (1.0, 0) and lex.look("marlin") is None and lex.look("maron") == (3.0, 1) and lex.look("marons") is None
+    assert lex.look("m" * 28) == (2.0, 1)
+    around = {"you": 2.0, "said": -3.0, '"': -2.0}
+    plain, quoted = features(lex, around, "you are a moron"), features(lex, around, 'they said "moron" again')
+    assert plain[0] > quoted[0] and quoted[2] > plain[2]
+    assert features(lex, around, "") == features(lex, around, "nothing here") == [0.0] * 7
 
 
 def test_scores(spark):
-    docs = spark.createDataFrame([(1, "you idiot", "a"), (2, None, "a"), (3, "", "a")], TEXTS)
-    none = spark.createDataFrame([], "doc_id long, text string, y int")
-    got = {r[0]: r[1] for r in scores(docs, none).collect()}
-    assert got[1] > 0.4 and got[2] == got[3] == 0.0
+    filler = "the quick brown fox went over lazy dogs near rivers under old stone bridges".split()
+    rng, rows = random.Random(6), []
+    for i in range(120):
+        words = rng.choices(filler, k=12)
+        toxic = i % 4 == 0
+        if toxic:
+            words[5:5] = ["you", rng.choice(["grobnak", "grobnaks", "vilthorn"])]
+        rows.append((i, " ".join(words), "a", int(toxic)))
+    train = spark.createDataFrame([(t, y) for _, t, _, y in rows] + [(None, 0), ("", 0), ("you grobnak", None)], "text string, y int")
+    odd = [(1000, None, "x"), (1001, "", "x"), (1002, "my you grobnok over dogs", "x"), (1002, "my you grobnok over dogs", "x"), (None, "the fox", "x"), (1003, "fox " * 20000, "x")]
+    docs = spark.createDataFrame([(i, t, s) for i, t, s, _ in rows] + odd, TEXTS)
+    got = {}
+    for r in scores(docs, train).collect():
+        got.setdefault(r[0], []).append(r[1])
+    assert all((got[i][0] >= 0.7) == bool(y) for i, _, _, y in rows)
+    assert len(got[1002]) == 2 and min(got[1002]) >= 0.7 and max(got[1000][0], got[1001][0], got[None][0], got[1003][0]) < 0.3
+    assert scores(docs.limit(0), train).count() == 0
+    assert {r[1] for r in scores(docs, train.where("y = 0")).collect()} == {0.0}
+    assert {r[1] for r in scores(docs, train.limit(0)).collect()} == {0.0}
