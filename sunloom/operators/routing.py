@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The smallest squared distance.
+#: Fixed value: the smallest squared distance.
 FLOOR = 1e-10
 
 
@@ -50,3 +50,97 @@ def centre_update(points: DataFrame, z: Sequence[str], k: int, m: float = 2.0) -
     w = lambda i: F.pow(F.col("u")[i], F.lit(m))
     row = points.agg(*[(F.sum(w(i) * F.col(c)) / F.sum(w(i))).alias(f"c_{i}_{j}") for i in range(k) for j, c in enumerate(z)])
     return row.select(F.inline(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(c).alias("dim"), F.col(f"c_{i}_{j}").alias("value")) for i in range(k) for j, c in enumerate(z)])))
+
+
+def objective(points: DataFrame, z: Sequence[Column], centres: Sequence[Sequence[float]], m: float = 2.0) -> DataFrame:
+    """(jm): the sum over points and centres of u ** m times the squared distance."""
+    d = distances(z, centres)
+    rows = points.select(d.alias("d")).withColumn("u", memberships(F.col("d"), m))
+    return rows.agg(F.sum(F.aggregate(F.zip_with("u", "d", lambda u, v: F.pow(u, F.lit(m)) * v), F.lit(0.0), lambda s, v: s + v)).alias("jm"))
+
+
+def fit(points: DataFrame, key: str, z: Sequence[str], k: int = 3, m: float = 2.0, starts: Sequence[int] = range(42, 52), most: int = 300, tolerance: float = 1e-5) -> dict:
+    """Fuzzy centres of the start with the smallest objective: centres, jm, start, rounds, runs.
+
+    All starts move together, in one aggregation a round over the points; only centres come to the driver. A start's
+    memberships begin as hashes of (key, start, cluster), made to sum to 1, and it ends once no membership changes by
+    `tolerance` or more. points should be kept, as every round reads them.
+    """
+    raw = lambda s, c: (F.pmod(F.xxhash64(F.col(key), F.lit(s), F.lit(c)), F.lit(1_000_003)) + 1).cast("double")
+    own = [F.col(c) for c in z]
+    now: dict[int, list | None] = {s: None for s in starts}
+    before: dict[int, list | None] = {s: None for s in starts}
+    runs: dict[int, dict] = {}
+    u_of = lambda s, c: _shares(F.array(*[raw(s, i) for i in range(k)])) if c is None else memberships(distances(own, c), m)
+    for turn in range(most + 1):
+        active = [s for s in starts if s not in runs]
+        if not active:
+            break
+        columns, sums = {}, []
+        for s in active:
+            columns |= {f"u{s}": u_of(s, now[s]), f"d{s}": distances(own, now[s]) if now[s] else F.array(*[F.lit(0.0)] * k), f"v{s}": u_of(s, before[s])}
+            w = lambda i, s=s: F.pow(F.col(f"u{s}")[i], F.lit(m))
+            sums += [F.sum(w(i) * F.col(c)).alias(f"s{s}_{i}_{j}") for i in range(k) for j, c in enumerate(z)] + [F.sum(w(i)).alias(f"w{s}_{i}") for i in range(k)]
+            sums += [F.max(F.array_max(F.zip_with(f"u{s}", f"v{s}", lambda a, b: F.abs(a - b)))).alias(f"e{s}")]
+            sums += [F.sum(sum(w(i) * F.col(f"d{s}")[i] for i in range(k))).alias(f"j{s}")]
+        row = points.select(*z, *[v.alias(n) for n, v in columns.items()]).agg(*sums).first()
+        for s in active:
+            if row[f"w{s}_0"] is None:
+                raise ValueError("no points to fit")
+            done = now[s] is not None and (row[f"e{s}"] < tolerance or turn == most)
+            if done:
+                runs[s] = {"centres": now[s], "jm": row[f"j{s}"], "rounds": turn}
+            else:
+                before[s], now[s] = now[s], [[row[f"s{s}_{i}_{j}"] / row[f"w{s}_{i}"] for j in range(len(z))] for i in range(k)]
+    start = min(starts, key=lambda s: runs[s]["jm"])  # the first of equal ones
+    return runs[start] | {"start": start, "runs": runs}
+
+
+def centre_distances(centres: DataFrame) -> DataFrame:
+    """(k1, k2, distance) between all centres of a table (k, dim, value)."""
+    a, b = centres.select(F.col("k").alias("k1"), "dim", F.col("value").alias("v1")), centres.select(F.col("k").alias("k2"), "dim", F.col("value").alias("v2"))
+    return a.join(b, "dim").groupBy("k1", "k2").agg(F.sqrt(F.sum(F.pow(F.col("v1") - F.col("v2"), F.lit(2.0)))).alias("distance"))
+
+
+def _distance(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    return F.sqrt(sum(((x - y) * (x - y) for x, y in zip(a, b, strict=True)), F.lit(0.0)))
+
+
+def davies_bouldin(points: DataFrame, z: Sequence[str], label: str = "label") -> DataFrame:
+    """(davies_bouldin): the mean over clusters of the largest (spread + spread) / distance; centroids are label means."""
+    centroid = points.groupBy(label).agg(*[F.avg(c).alias(f"c_{c}") for c in z])
+    spread = points.join(F.broadcast(centroid), label).groupBy(label, *[f"c_{c}" for c in z]).agg(F.avg(_distance([F.col(c) for c in z], [F.col(f"c_{c}") for c in z])).alias("spread"))
+    a, b = (spread.select(*[F.col(c).alias(f"{c}_{x}") for c in spread.columns]) for x in "ab")  # a row a cluster
+    pairs = a.join(F.broadcast(b), F.col(f"{label}_a") != F.col(f"{label}_b"))
+    ratio = (F.col("spread_a") + F.col("spread_b")) / _distance([F.col(f"c_{c}_a") for c in z], [F.col(f"c_{c}_b") for c in z])
+    return pairs.groupBy(f"{label}_a").agg(F.max(ratio).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
+
+
+def silhouette(points: DataFrame, key: str, z: Sequence[str], label: str = "label", most: int = 2_000) -> DataFrame:
+    """(silhouette): the mean of (b - a) / max(a, b) over points, by Euclidean distance; alone in a cluster counts 0.
+
+    Every point is compared with at most `most` of them, by smallest hash of the key, as queries; with more points the
+    mean is over those queries, each of which still meets all points.
+    """
+    n = F.broadcast(points.select(F.col(key).alias("q"), F.col(label).alias("own"), *[F.col(c).alias(f"q_{c}") for c in z]).orderBy(F.xxhash64("q"), "q").limit(most))
+    rows = points.select(F.col(key).alias("p"), label, *z).join(n, F.lit(True))
+    far = _distance([F.col(c) for c in z], [F.col(f"q_{c}") for c in z])
+    sums = rows.groupBy("q", "own", label).agg(F.sum(far).alias("s"), F.count(F.lit(1)).alias("n"))
+    mine = F.col("own") == F.col(label)
+    each = sums.groupBy("q").agg(F.max(F.when(mine & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"), F.min(F.when(~mine, F.col("s") / F.col("n"))).alias("b"))
+    return each.agg(F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"))
+
+
+def semantic_names(train: DataFrame, power: str = "power_mean", names: Sequence[str] = ("clear", "cloudy", "low_irradiance"), *more: str) -> DataFrame:
+    """(label, name, means): clusters of training rows named by falling mean power; equal ones by label."""
+    from pyspark.sql import Window as W
+
+    means = train.groupBy("label").agg(F.avg(power).alias(power), *[F.avg(c).alias(c) for c in more])
+    rank = F.row_number().over(W.orderBy(F.desc(power), "label"))  # a row a cluster
+    name = F.coalesce(F.try_element_at(F.array(*[F.lit(x) for x in names]), rank), F.lit("unknown"))
+    return means.withColumn("name", name)
+
+
+def named(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Adds name by label; unknown where there is none."""
+    return rows.join(F.broadcast(names.select("label", "name")), "label", "left").withColumn("name", F.coalesce("name", F.lit("unknown")))

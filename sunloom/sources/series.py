@@ -8,20 +8,30 @@ from pyspark.sql import functions as F
 STEP = "15 minutes"
 
 
-def read_sensor_csv(spark: SparkSession, path: str, time_column: str, fmt: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:
-    """A CSV sensor table with its time column parsed strictly to ts; NaN becomes NULL."""
-    df = spark.read.csv(path, header=True, inferSchema=True)
-    df = df.withColumn("ts", F.to_timestamp_ntz(F.col(time_column).cast("string"), F.lit(fmt))).drop(time_column)
-    return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
-
-
-def from_events(events: DataFrame, step: str = STEP) -> DataFrame:
-    """One row for each step that has events: ts, tsi, dni, ghi, temp, atm, power, day."""
-    rows = events.groupBy(F.window("ts", step).alias("w")).agg(
+def read_sensor_csv(spark: SparkSession, path: str, columns: dict[str, str], fmt: str = "yyyy-MM-dd HH:mm:ss", series_id: str = "all") -> DataFrame:
+    """A CSV sensor table: series_id, row_id, ts, the other columns as doubles, day.
+
+    columns gives the file's name for each of ours, ts among them. Times are parsed strictly, so a bad one is an error; a
+    number that is NaN or empty becomes NULL. row_id numbers the rows in the file's order, so equal times have an order.
+    """
+    raw = spark.read.csv(path, header=True)  # all strings: no pass over the file to guess types
+    number = lambda c: F.col(f"`{c}`").cast("double")
+    values = [F.when(~F.isnan(number(c)), number(c)).alias(n) for n, c in columns.items() if n != "ts"]
+    rows = raw.select(F.lit(series_id).alias("series_id"), F.monotonically_increasing_id().alias("row_id"), F.to_timestamp_ntz(F.col(f"`{columns['ts']}`"), F.lit(fmt)).alias("ts"), *values)
+    return rows.withColumn("day", F.to_date("ts"))
+
+
+def from_events(events: DataFrame, step: str = STEP, series: str | None = None) -> DataFrame:
+    """One row for each step that has events: ts, tsi, dni, ghi, temp, atm, power, day.
+
+    With a column `series`, each of its values is a series of its own, in series_id.
+    """
+    keys = [F.col(series).alias("series_id")] if series else []
+    rows = events.groupBy(*keys, F.window("ts", step).alias("w")).agg(
         F.count(F.lit(1)).cast("double").alias("tsi"), F.max("value").alias("dni"), F.min("value").alias("ghi"),
         F.avg("value").alias("temp"), F.countDistinct("user_id").cast("double").alias("atm"), F.sum("value").alias("power"),
     )
-    return rows.select(F.col("w.start").alias("ts"), "tsi", "dni", "ghi", "temp", "atm", "power", F.to_date("w.start").alias("day"))
+    return rows.select(*(["series_id"] if series else []), F.col("w.start").alias("ts"), "tsi", "dni", "ghi", "temp", "atm", "power", F.to_date("w.start").alias("day"))
 
 
 def dense(series: DataFrame, step: str = STEP) -> DataFrame:
