@@ -1,27 +1,30 @@
 """Removal of repeated 50-byte strings with sharded suffix arrays (operator 4).
 
 Every 50-byte string holds an anchor: the gram of smallest hash in it. Only grams that stand in several documents
-matter; around each of them the bytes that can share a string with it are cut out. Equal cuts are aggregated; shards
-of different cuts with the same anchor build a suffix array by induced sorting and its permuted common prefixes, which
-show the strings they share and the smallest document of each.
+matter; around each of them the bytes that can share a string with it are cut out. Equal cuts are aggregated. A shard has
+the different cuts of an anchor; those of a frequent anchor are split by the bytes beside it. Each shard builds a suffix
+array by induced sorting and its permuted common prefixes, which show the strings that its cuts share, and the smallest
+document of each.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import keep, table
+from .base import bounded, keep, slices, table
 
-#: Bytes of a string, and of an anchor gram; bytes of a shard that are sorted together at least; cuts of a hot anchor.
+#: Bytes of a string, and of an anchor gram; bytes of shards that are sorted together at least; cuts of a shard at most.
 SPAN, GRAM, CHUNK, HOT = 50, 24, 200_000, 2_000
+#: Bytes of a text that are hashed together.
+PIECE = 1 << 20
 SIDE = SPAN - GRAM
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
 def suffix_array(s: list[int], k: int) -> list[int]:
@@ -120,15 +123,28 @@ def first_docs(cuts: list[bytes], docs: list[int]) -> list[np.ndarray]:
     return [best[a : a + n - SPAN + 1] for a, n in zip(starts, lengths, strict=True)]
 
 
+def _slid(x: np.ndarray, w: int, best) -> np.ndarray:
+    """best (minimum or maximum) of each run of w items, by doubling."""
+    n, size = len(x), 1
+    while size * 2 <= w:
+        x = best(x[:-size], x[size:])
+        size *= 2
+    return best(x[: n - w + 1], x[w - size : w - size + n - w + 1])
+
+
 def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the grams that are the smallest of some SPAN-byte string; the first of equal ones."""
+    """(positions, hashes) of the grams that are the smallest of some SPAN-byte string, each place of equal ones."""
     n, w = len(data) - GRAM + 1, SIDE + 1
     if n < w:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    x = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
-    h = x
+    if len(data) > PIECE + SPAN:  # windows depend on their own bytes only
+        parts = [(lo, anchors(data[lo : lo + PIECE + SPAN])) for lo in range(0, n - w + 1, PIECE)]
+        at = np.concatenate([lo + x[0] for lo, x in parts])
+        at, first = np.unique(at, return_index=True)
+        return at, np.concatenate([x[1] for _, x in parts])[first]
+    h = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
     # A gram's polynomial hash by doubling: 24 = 16 + 8 bytes.
-    powers, size = {1: x}, 1
+    powers, size = {}, 1
     while size < 16:
         h = h[:-size] * np.uint64(pow(int(_MULT), size, 2**64)) + h[size:]
         size *= 2
@@ -136,27 +152,14 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     h = powers[16][:n] * np.uint64(pow(int(_MULT), 8, 2**64)) + powers[8][16 : 16 + n]
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    low, size = h, 1
-    while size * 2 <= w:
-        low = np.minimum(low[:-size], low[size:])
-        size *= 2
-    low = np.minimum(low[: n - w + 1], low[w - size : w - size + n - w + 1])
-    # The first place of the minimum in each window: a gram is chosen if it is the minimum of a window that starts
-    # behind the gram's last equal one, which keeping every place that attains a minimum includes.
-    new = np.r_[True, low[1:] != low[:-1]]
-    runs = np.flatnonzero(new)
-    ends = np.r_[runs[1:], len(low)] - 1 + w
-    found = []
-    for a, b, v in zip(runs.tolist(), ends.tolist(), low[runs], strict=True):
-        found.append(a + np.flatnonzero(h[a:b] == v))
-    at = np.unique(np.concatenate(found))
+    # A gram is chosen if it is the minimum of one of the windows that hold it, that is of the one with the largest.
+    low, edge = _slid(h, w, np.minimum), np.zeros(w - 1, np.uint64)
+    at = np.flatnonzero(_slid(np.concatenate([edge, low, edge]), w, np.maximum) == h)
     return at, h[at]
 
 
 def _mapped(df: DataFrame, run, schema: str) -> DataFrame:
     """run(columns as lists) gives rows of columns; batches are cut to a bounded number of bytes."""
-    from .base import slices
-
     names = [x.split()[0] for x in schema.split(",")]
     types = [{"long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "int": pa.int32()}[x.split()[1]] for x in schema.split(",")]
 
@@ -179,37 +182,78 @@ def _prints(ids, texts):
 
 
 def _cuts(ids, texts, prints):
-    doc, fps, start, cuts = [], [], [], []
+    doc, fps, start, before, cuts = [], [], [], [], []
     for i, t, p in zip(ids, texts, prints, strict=True):
         at, h = anchors(t)
         ok = np.isin(h.view(np.int64), np.array(p, np.int64))
         for a, f in zip(at[ok].tolist(), h[ok].view(np.int64).tolist(), strict=True):
             lo = max(0, a - SIDE)
-            doc.append(i), fps.append(f), start.append(lo), cuts.append(t[lo : a + GRAM + SIDE])
-    return doc, fps, start, cuts
+            doc.append(i), fps.append(f), start.append(lo), before.append(a - lo), cuts.append(t[lo : a + GRAM + SIDE])
+    return doc, fps, start, before, cuts
 
 
 def _sorted_shards(batches):
-    """Suffix arrays over consecutive cuts of whole anchors; rows come sorted by anchor."""
-    names = ["fp", "cut", "lows"]
-    held, total, key = [], 0, None
+    """Suffix arrays over consecutive shards; rows (cid, key, low, high, cut, first) come sorted by shard."""
+    held, total, last = [], 0, None
 
     def flush():
         lows = first_docs([c for _, c, _ in held], [d for _, _, d in held])
-        return pa.RecordBatch.from_arrays([pa.array([f for f, _, _ in held], pa.int64()), pa.array([c for _, c, _ in held], pa.binary()), pa.array([x.tolist() for x in lows], pa.list_(pa.int64()))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in held], pa.int64()), pa.array([x.tolist() for x in lows], pa.list_(pa.int64()))], names=["cid", "lows"])
 
     for b in batches:
-        for fp, cut, doc in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            if fp != key and total >= CHUNK:
+        for cid, key, low, high, cut, first in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            if (key, low, high) != last and total >= CHUNK:
                 yield flush()
                 held, total = [], 0
-            key = fp
-            held.append((fp, cut, doc))
+            last = key, low, high
+            held.append((cid, cut, first))
             total += len(cut)
     if held:
         yield flush()
 
 
+_SHARD = ["key", "low", "high"]
+
+
+def _halves(cuts: DataFrame) -> DataFrame:
+    """Splits shards: the strings of a cut with few bytes before the anchor, and those with many, are dealt anew.
+
+    A shard (key, low, high) has the strings that begin low to high bytes before the anchor. All of them hold the low
+    bytes before it and the SIDE - high bytes behind it, so these bytes are part of the key. Strings that are equal meet
+    in one shard again; a shard of one place has equal strings only, so splitting comes to an end.
+    """
+    mid = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+    two = F.array(F.struct(F.col("low"), mid.alias("high")), F.struct((mid + 1).alias("low"), F.col("high")))
+    rows = cuts.where("low < high").withColumn("half", F.explode(two)).withColumn("low", F.col("half.low")).withColumn("high", F.col("half.high"))
+    left, right = F.least("before", "high"), F.least(F.length("cut") - F.col("before") - GRAM, SIDE - F.col("low"))
+    rows = rows.withColumn("left", left).withColumn("right", right).where(f"left >= low AND right >= {SIDE} - high")
+    rows = rows.withColumn("cut", F.substr("cut", F.col("before") - F.col("left") + 1, F.col("left") + F.col("right") + GRAM)).withColumn("before", F.col("left"))
+    core = F.substr("cut", F.col("before") - F.col("low") + 1, F.col("low") + GRAM + SIDE - F.col("high"))
+    return rows.withColumn("key", F.xxhash64("key", core)).select("id", *_SHARD, "before", "cut", "first", "last")
+
+
+def _lows(classes: DataFrame) -> DataFrame:
+    """(id, before, lows) for the cuts of classes: for each of its strings the smallest document that has it.
+
+    A cut can come in several rows, each for the strings that begin `before` bytes before the anchor, and behind. A shard
+    whose cuts are all of one document is left out: nothing is shared there.
+    """
+    cuts, found = classes.select("id", F.col("fp").alias("key"), F.lit(0).alias("low"), F.lit(SIDE).alias("high"), "before", "cut", "first", "last"), []
+    while True:
+        own = cuts.groupBy(*_SHARD, "before", "cut").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        own = keep(own.withColumn("cid", F.monotonically_increasing_id()))  # kept, so the ids stay
+        sizes = own.groupBy(*_SHARD).agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("a"), F.max("last").alias("b")).where("a < b")
+        sizes = keep(sizes.select(*_SHARD, "n"))
+        ready = own.join(sizes.where(f"n <= {HOT}").drop("n"), _SHARD).where(f"length(cut) >= {SPAN}").select("cid", *_SHARD, "cut", "first")
+        lows = ready.repartition(*_SHARD).sortWithinPartitions(*_SHARD).mapInArrow(_sorted_shards, "cid long, lows array<long>")
+        of = cuts.join(own.select(*_SHARD, "before", "cut", "cid"), [*_SHARD, "before", "cut"]).select("id", "before", "cid")
+        found.append(keep(of.join(lows, "cid").drop("cid")))
+        hot = sizes.where(f"n > {HOT}").drop("n")
+        if hot.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        cuts = keep(_halves(cuts.join(hot, _SHARD)))
+
+
 def _kept(ids, texts, starts):
     out = ([], [], [], [], [])
     for i, t, s in zip(ids, texts, starts, strict=True):
@@ -238,22 +282,15 @@ def repeated(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
     own = texts.where("doc_id IS NOT NULL")
     prints = _mapped(own, _prints, "doc_id long, fp long")
-    common = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("fp"))
-    wanted = prints.join(common, "fp", "left_semi").groupBy("doc_id").agg(F.collect_set("fp").alias("prints"))
-    cuts = keep(_mapped(own.join(wanted, "doc_id"), _cuts, "doc_id long, fp long, start long, cut binary"))
-    distinct = keep(cuts.groupBy("fp", "cut").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
-    counts = distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
-    told = keep(distinct.join(counts, "fp"))
-    lows = "fp long, cut binary, lows array<long>"
-    single = told.where(f"n = 1 AND first < last AND length(cut) >= {SPAN}").select("fp", "cut", F.array_repeat("first", F.length("cut") - (SPAN - 1)).alias("lows"))
-    shard = lambda df: df.repartition("fp").sortWithinPartitions("fp").mapInArrow(_sorted_shards, lows)
-    several = shard(told.where(f"n > 1 AND n <= {HOT} AND length(cut) >= {SPAN}").select("fp", "cut", "first"))
-    # A hot anchor is split by the strings themselves: each is a cut of its own with its own shard.
-    hot = told.where(f"n > {HOT} AND length(cut) >= {SPAN}").select("fp", "cut", "first", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("cut") - (SPAN - 1)), lambda i: F.substring("cut", i, SPAN))).alias("at", "string"))
-    strings = shard(hot.groupBy("string").agg(F.min("first").alias("first")).select(F.xxhash64("string").alias("fp"), F.col("string").alias("cut"), "first"))
-    split = hot.join(strings.select(F.col("cut").alias("string"), F.get("lows", 0).alias("low")), "string").groupBy("fp", "cut").agg(F.array_sort(F.collect_list(F.struct("at", "low"))).alias("l")).select("fp", "cut", F.col("l.low").alias("lows"))
-    known = keep(single.unionByName(several).unionByName(split))
-    hits = cuts.join(known, ["fp", "cut"]).select("doc_id", F.filter(F.transform("lows", lambda low, i: F.when(low < F.col("doc_id"), F.col("start") + i)), lambda s: s.isNotNull()).alias("s"))
+    common = bounded(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"))
+    wanted = keep(prints.join(common, "fp", "left_semi").groupBy("doc_id").agg(F.collect_set("fp").alias("prints")))
+    some = own.join(bounded(wanted.select("doc_id")), "doc_id", "left_semi").join(wanted, "doc_id")
+    cuts = keep(_mapped(some, _cuts, "doc_id long, fp long, start long, before int, cut binary"))
+    classes = cuts.groupBy("fp", "before", "cut").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    classes = keep(classes.withColumn("id", F.monotonically_increasing_id()))  # kept, so the ids stay
+    lows = _lows(classes)
+    mine = cuts.join(classes.select("id", "fp", "before", "cut"), ["fp", "before", "cut"]).select("id", "doc_id", (F.col("start") + F.col("before")).alias("anchor"))
+    hits = mine.join(lows, "id").select("doc_id", F.filter(F.transform("lows", lambda low, i: F.when(low < F.col("doc_id"), F.col("anchor") - F.col("before") + i)), lambda s: s.isNotNull()).alias("s"))
     gone = hits.where(F.size("s") > 0).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("starts"))
     # A repeated doc_id brings starts of other rows; those beyond a text's end are left out.
     back = texts.join(gone, "doc_id", "left").select("doc_id", "data", F.filter("starts", lambda s: s + SPAN <= F.length("data")).alias("starts"))

@@ -43,7 +43,7 @@ def test_repeated(spark, monkeypatch):
     rows = [(i, "".join(rng.choice(parts) if rng.random() < 0.5 else "".join(rng.choices("abcdefgh ", k=40)) for _ in range(6)) + line + str(rng.random())) for i in range(60)]
     rows += [(60, None), (61, ""), (62, "a" * 400), (63, "a" * 300), (64, rows[3][1])]
     want = brute([(i, (t or "").encode()) for i, t in rows])
-    for hot in (2_000, 3):
+    for hot in (2_000, 3, 1):
         monkeypatch.setattr(S, "HOT", hot)
         got = {r[0]: tuple(r[1:]) for r in S.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         assert got == want
