@@ -66,17 +66,18 @@ def words(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(spaced, " "), ""), F.array().cast("array<string>"))
 
 
-def map_texts(df: DataFrame, id_col: str, text_col: str, start: Callable[[], Callable[[list[str]], list[pa.Array]]], schema: str) -> DataFrame:
+def map_texts(df: DataFrame, id_col: str, text_col: str, start: Callable[[], Callable[[list[str]], list[pa.Array]]], schema: str, most: int = 4_000_000) -> DataFrame:
     """Runs a function over Arrow batches of texts (null: empty); it returns the columns that follow the id.
 
-    start() is called once in each task and returns the function, which gets slices of bounded total length.
+    start() is called once in each task and returns the function, which gets slices of about `most` bytes at most; a
+    longer text comes alone.
     """
     names = [x.split()[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:
-            for lo, hi in slices(batch.column(1)):
+            for lo, hi in slices(batch.column(1), most):
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column(0), *work(part.column(1).to_pylist())], names=[id_col, *names])
 

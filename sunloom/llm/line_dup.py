@@ -1,33 +1,28 @@
 """Fuzzy line dedup by MinHash (operator 8, DataFrame functions only).
 
-Each distinct line is cut into character shingles. Their hashes fall into bins, whose minima make up the signature;
-bands of bins give candidates, exact Jaccard similarity confirms them, and distributed union-find keeps one line of
-each component.
+Each distinct line is cut into character shingles. Their hashes are points on a ring that is cut into bands; the first
+points of each band are a bucket key. Lines that share a bucket are candidates, exact Jaccard similarity confirms them,
+and distributed union-find keeps one line of each component.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import keep, table
-from .linking import connect
-
-#: Characters of a shingle, bands, and bins of a band. At a similarity of 0.8 all bands miss with (1 - 0.8**4)**16 < 3e-4.
-CHARS, BANDS, ROWS = 5, 16, 4
-BINS = BANDS * ROWS
-#: Lines of one document that an id has room for.
-ROOM = 24
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, at, line) for each line; line ids are doc_id * 2**ROOM + at."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    return docs.select("doc_id", F.posexplode(lines).alias("at", "line"))
+from .base import bounded, keep, table
+from .linking import connect, shared_buckets
 
-
-def _line_id() -> Column:
-    return (F.shiftleft(F.col("doc_id").cast("long"), ROOM) + F.col("at")).alias("node")
+#: Characters of a shingle, bands, and points that make up a key. At a similarity of 0.8 all bands miss with
+#: (1 - 0.8 ** 6) ** 20 < 0.003, at 0.85 with less than 1e-4.
+CHARS, BANDS, POINTS = 5, 20, 6
+#: Points that a line has at least: each shingle of a short line has several. Characters that are cut out together.
+LEAST, BLOCK = 256, 64
+#: Where the bands begin, and how many of them are looked up at a time.
+BOUNDS = [(2 * b - BANDS) * (2**63 // BANDS) for b in range(BANDS)]
+EACH = 5
 
 
 def _let(value: Column, body) -> Column:
@@ -36,67 +31,101 @@ def _let(value: Column, body) -> Column:
 
 
 def _shingles(line: Column) -> Column:
-    """Sorted distinct hashes of the runs of CHARS characters; a shorter line is one shingle."""
-    chars = F.filter(F.split(line, ""), lambda x: x != "")
-    runs = lambda c: F.transform(F.slice(c, 1, F.greatest(F.size(c) - (CHARS - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(c, i + j) for j in range(1, CHARS)]))
-    return F.when(F.length(line) < CHARS, F.array(F.xxhash64(line))).otherwise(F.sort_array(F.array_distinct(_let(chars, runs))))
+    """The distinct hashes of the runs of CHARS characters; a shorter line is one shingle.
+
+    Characters are counted from the start of a block, not of the line, so long lines take linear time.
+    """
+    block = lambda j: F.substr(line, j * BLOCK + 1, F.lit(BLOCK + CHARS - 1))
+    runs = lambda b: F.transform(F.sequence(F.lit(1), F.length(b) - (CHARS - 1)), lambda i: F.xxhash64(F.substr(b, i, F.lit(CHARS))))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length(line) - CHARS) / BLOCK).cast("int")), block)
+    return F.when(F.length(line) < CHARS, F.array(F.xxhash64(line))).otherwise(F.array_distinct(F.flatten(F.transform(blocks, runs))))
+
 
+def _copies(n: Column) -> Column:
+    """The exponent of the power of two of points that each shingle of a set of n has, so that there are LEAST."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.lit(float(LEAST)) / n))).cast("int")
 
-def _keys(hashes: Column) -> Column:
-    """A bucket key for each band; bands without a filled bin are left out.
 
-    Hashes are sorted and a bin is their leading bits, so its minimum is the first one of it.
+def _keys(hashes: Column, n: Column, percent: int) -> Column:
+    """The bucket keys: of the line's own number of copies, and of those that a smaller similar set may have."""
+
+    def of(e: Column) -> Column:
+        points = F.when(e == 0, hashes).otherwise(F.flatten(F.transform(hashes, lambda h: F.transform(F.sequence(F.lit(1), F.pow(F.lit(2), e).cast("int")), lambda j: F.xxhash64(h, j)))))
+        ring = F.sort_array(F.concat(points, F.lit(BOUNDS)))
+        return _let(ring, lambda r: F.transform(F.lit(BOUNDS), lambda b: F.xxhash64(e, b, F.slice(r, F.array_position(r, b).cast("int") + 1, POINTS))))
+
+    least = F.ceil(n * (percent / 100))
+    return F.flatten(F.transform(F.sequence(_copies(n), _copies(F.greatest(least, F.lit(1)))), of))
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, at, h1, h2, line): each line that is not blank, without the white space around it, and its hashes.
+
+    row is a hash of the text, which tells rows of one doc_id apart.
     """
-    bin_of = lambda h: F.shiftright(h, 58) + 32
-    mins = F.filter(hashes, lambda h, i: (i == 0) | (bin_of(h) != bin_of(F.get(hashes, i - 1))))
-    band = lambda h: F.floor(bin_of(h) / ROWS).cast("int")
-    return _let(mins, lambda m: F.transform(F.array_distinct(F.transform(m, band)), lambda b: F.xxhash64(b, F.filter(m, lambda h: band(h) == b))))
+    split = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    split = split.withColumn("line", F.btrim("line", F.lit(" \t\r\x0b\x0c"))).where("line <> ''")
+    return split.select("doc_id", "row", "at", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), "line")
 
 
-def line_components(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, at, node, component, kept) for each line of each document row.
+def dropped_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """(doc_id, row, at) of the lines that are copies, or near copies, of an earlier one.
 
-    Lines are what stands between line feeds, without the white space around; empty lines are always kept and have no
-    component. Lines whose character shingle sets have 100 * intersection >= percent * union are linked. component is
-    the smallest line id (doc_id * 2**24 + place) that links reach, kept tells whether the line is that one. Null texts
-    have one empty line; equal lines are one class and are compared once. Where a doc_id repeats, the first line of
-    equal ids is kept in each of its rows. Other columns are neither read nor returned; an empty table gives no rows.
+    Lines are what stands between line feeds, without the blanks, tabs and carriage returns around; blank lines are never
+    dropped. Lines whose sets of character shingles have 100 * intersection >= percent * union are linked; of the lines
+    that links connect, the one of smallest (doc_id, at) stays. Equal lines are one class and are compared once. Where a
+    doc_id repeats, its rows are told apart by their texts, and lines of one (doc_id, at) and class all stay. Rows
+    without a doc_id come first in the order and are otherwise like others.
     """
-    lines = _lines(docs).withColumn("line", F.trim("line")).where("line <> ''")
-    lines = lines.select("doc_id", "at", _line_id(), F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), "line")
-    classes = keep(lines.groupBy("h1", "h2").agg(F.min_by("line", "node").alias("line"), F.min("node").alias("node")).where("node IS NOT NULL"))
-    shingled = classes.select("node", _shingles(F.col("line")).alias("s"))
-    buckets = keep(shingled.select("node", F.size("s").alias("n"), _keys(F.col("s")).alias("keys")))
-    buckets = buckets.select(F.explode("keys").alias("key"), "node", "n")
+    lines = _lines(docs)
+    classes = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("line").alias("line"))
+    sets = classes.select("h1", "h2", "first", "copies", _shingles(F.col("line")).alias("s"))
+    keyed = sets.select("h1", "h2", "first", "copies", F.size("s").alias("n"), _keys(F.col("s"), F.size("s"), percent).alias("keys"))
+    classes = keep(keyed.withColumn("node", F.monotonically_increasing_id()))  # kept, so the ids stay
+    spans = math.ceil(math.log2(100 / percent)) + 1
+    shared = shared_buckets(classes.select("node", "n", "keys"), BANDS * spans, BANDS * spans // EACH)
+
+    ids = bounded(classes.join(bounded(shared.select("node").distinct()), "node").select("node", "n", "h1", "h2", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at")))
+    same = [F.col(f"l.{c}") == F.col(f"i.{c}") for c in ("h1", "h2", "at")] + [F.col("l.doc_id").eqNullSafe(F.col("i.doc_id"))]
+    lead = lines.alias("l").join(ids.alias("i"), same)
+    lead = keep(lead.select("node", "n", "line").dropDuplicates(["node"]))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = keep(pairs)
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = classes.join(ids, "node", "left_semi").select("node", _shingles(F.col("line")).alias("s"))
-        side = lambda x: sets.select(F.col("node").alias(x), F.col("s").alias(f"s_{x}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size(F.array_intersect("s_a", "s_b")).alias("i"), (F.size("s_a") + F.size("s_b")).alias("t"))
+        side = lambda x, c: lead.select(F.col("node").alias(x), F.col(c).alias(f"{c}_{x}"))
+        near = pairs.join(side("a", "n"), "a").join(side("b", "n"), "b").where(fits("_a", "_b")).select("a", "b")
+        both = near.join(side("a", "line"), "a").join(side("b", "line"), "b").select("a", "b", _shingles(F.col("line_a")).alias("s_a"), _shingles(F.col("line_b")).alias("s_b"))
+        both = both.select("a", "b", F.size(F.array_intersect("s_a", "s_b")).alias("i"), (F.size("s_a") + F.size("s_b")).alias("t"))
         return both.where(F.col("i") * 100 >= (F.col("t") - F.col("i")) * percent).select("a", "b")
 
     fits = lambda a, b: F.least(f"n{a}", f"n{b}") * 100 >= F.greatest(f"n{a}", f"n{b}") * percent
-    label = connect(buckets, verify, fits)
-    of = classes.select("h1", "h2", "node").join(label, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
-    out = lines.drop("line").join(of, ["h1", "h2"])
-    return out.select("doc_id", "at", "node", "component", (F.col("component") == F.col("node")).alias("kept"))
-
-
-def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of docs with n_lines, n_dropped and, in text, only the lines that are kept.
-
-    A document that loses no line keeps its text (null too) as it is; all documents stay, also those without lines
-    left. All columns of docs come through, but for its own columns n_lines and n_dropped, which are replaced.
+    label = connect(shared, verify, fits)
+    linked = keep(classes.select("node", "first").join(label, "node"))
+    best = linked.groupBy("component").agg(F.min("first").alias("best"))
+    told = classes.select("node", "h1", "h2", "first", "copies").join(linked.select("node", "component").join(best, "component").drop("component"), "node", "left")
+    told = told.where("copies > 1 OR best IS NOT NULL").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.coalesce("best", "first").alias("best"))
+    told = bounded(told.select("g1", "g2", F.col("best.doc_id").alias("best_doc"), F.col("best.at").alias("best_at")))
+    rows = lines.select("doc_id", "row", "at", "h1", "h2").join(told, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
+    return rows.where(~(F.col("doc_id").eqNullSafe(F.col("best_doc")) & (F.col("at") == F.col("best_at")))).select("doc_id", "row", "at")
+
+
+def dedup_lines(docs: DataFrame, percent: int = 80, counts: bool = True) -> DataFrame:
+    """The rows of docs with, in text, only the lines that stay, as dropped_lines() tells; counts adds n_lines, n_dropped.
+
+    A document that loses no line keeps its text (null too) as it is; all documents stay, also those without lines left.
+    A null or empty text is one line. All columns of docs come through, but for columns called n_lines and n_dropped,
+    which counts replaces. An empty table gives no rows.
     """
-    lost = line_components(docs, percent).where("NOT kept").groupBy("doc_id").agg(F.collect_set("at").alias("_lost"))
+    mine = [f"{c}{'_' * max(map(len, docs.columns))}" for c in ("d", "r", "lost")]  # longer than any column's name
+    d, r, lost = mine
+    gone = dropped_lines(docs.select("doc_id", "text"), percent).groupBy("doc_id", "row").agg(F.collect_set("at").alias(lost)).withColumnsRenamed({"doc_id": d, "row": r})
+    names = [c for c in docs.columns if not counts or c.lower() not in ("n_lines", "n_dropped")]
+    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(r)), "left")
     lines = F.split("text", "\n")
-    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "_lost")]
-    out = docs.select(*names).join(lost, "doc_id", "left")
-    rest = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_lost", i), x)), lambda x: x.isNotNull()), "\n")
-    text = F.when(F.col("_lost").isNull(), F.col("text")).otherwise(rest)
-    return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], F.coalesce(F.size(lines), F.lit(1)).cast("long").alias("n_lines"), F.coalesce(F.when(F.col("_lost").isNotNull(), F.size("_lost")), F.lit(0)).cast("long").alias("n_dropped"))
+    # By sets of line numbers: looking up each line in the list of those lost would take the square of their number.
+    rest = _let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(lost)), lambda i: F.get(x, i)), "\n"))
+    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(rest)
+    more = [F.coalesce(F.size(lines), F.lit(1)).cast("long").alias("n_lines"), F.coalesce(F.size(lost), F.lit(0)).cast("long").alias("n_dropped")] if counts else []
+    return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], *more)
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,14 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import bounded, keep, map_texts, table
-from .linking import connect
+from .base import bounded, keep, map_texts, slices, table
+from .linking import blocks, connect, shared_buckets
 
-#: Registers: BANDS * ROWS. At a similarity of 0.85, all bands miss with probability (1 - 0.85 ** 8) ** 64 < 2e-9.
-BANDS, ROWS = 64, 8
+#: Registers: BANDS * ROWS. All bands miss with probability (1 - 0.85 ** 6) ** 32 < 3e-7 at a similarity of 0.85, and
+#: with (1 - 0.8 ** 6) ** 32 < 7e-5 at 0.8. Rounds in which the bands are looked up.
+BANDS, ROWS, ROUNDS = 32, 6, 4
 M = BANDS * ROWS
 #: Base of the register scale, and the natural logarithm of the largest minimum that a register tells apart.
 BASE, TOP = 1.001, 8.0
+#: Bytes of texts that are sketched together.
+SLICE = 1_000_000
 #: Standard errors by which an estimate may fall short of the threshold before a pair is given up unverified.
 SLACK = 7.0
 
@@ -104,10 +107,10 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
 
 def bands(regs: np.ndarray) -> np.ndarray:
     """A bucket key for each band of registers; the band's number is part of it."""
-    words = np.ascontiguousarray(regs).view(np.uint64).reshape(len(regs), BANDS, ROWS // 4)
+    rows = regs.reshape(len(regs), BANDS, ROWS).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(regs), BANDS))
-    for j in range(words.shape[2]):
-        key = mix(key * _ODD + words[:, :, j])
+    for j in range(ROWS):
+        key = mix(key * _ODD + rows[:, :, j])
     return key.view(np.int64)
 
 
@@ -130,34 +133,113 @@ def likely(regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray, n_b: np.ndar
     return (lo + hi) / 2
 
 
+def _prints(sets: list[np.ndarray]) -> list[pa.Array]:
+    """The size and a 128-bit fingerprint of each set."""
+    sums = [[int(np.bitwise_xor.reduce(mix(s * np.uint64(k)))) - 2**63 if len(s) else 0 for s in sets] for k in (3, 5)]
+    return [pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64())]
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, f1, f2, regs, keys): the size and a 128-bit fingerprint of each set, its registers and bands."""
+    """(doc_id, n, f1, f2, keys): the size and a 128-bit fingerprint of each set, and the keys of its register bands."""
 
     def start():
         def work(texts: list[str]) -> list[pa.Array]:
             sets = shingle_sets(texts, size)
-            regs = registers(sets)
-            sums = [[int(np.bitwise_xor.reduce(mix(s * np.uint64(k)))) - 2**63 if len(s) else 0 for s in sets] for k in (3, 5)]
             ends = np.arange(len(sets) + 1, dtype=np.int32) * BANDS
-            return [pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands(regs).reshape(-1)))]
+            return [*_prints(sets), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands(registers(sets)).reshape(-1)))]
 
         return work
 
-    return map_texts(docs, "doc_id", "text", start, "n long, f1 long, f2 long, regs binary, keys array<long>")
+    return map_texts(docs, "doc_id", "text", start, "n long, f1 long, f2 long, keys array<long>", SLICE)
 
 
-def shingles(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, shingles array<long>), sorted and distinct."""
+def _leaders(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(node, n, regs, text) for each of the classes (node, doc_id, n, f1, f2): one text that has its set."""
 
     def start():
         def work(texts: list[str]) -> list[pa.Array]:
             sets = shingle_sets(texts, size)
-            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))]
+            return [*_prints(sets), pa.array([r.tobytes() for r in registers(sets)], pa.binary()), pa.array(texts, pa.string())]
 
         return work
 
-    return map_texts(docs, "doc_id", "text", start, "shingles array<long>")
+    ids = bounded(classes.select(F.col("doc_id").alias("d")).distinct())
+    own = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("d"))).select("doc_id", "text")
+    own = map_texts(own, "doc_id", "text", start, "n long, f1 long, f2 long, regs binary, text string", SLICE)
+    same = [F.col(f"o.{c}") == F.col(f"c.{c}") for c in ("n", "f1", "f2")] + [F.col("o.doc_id").eqNullSafe(F.col("c.doc_id"))]
+    return own.alias("o").join(bounded(classes.select("node", "doc_id", "n", "f1", "f2")).alias("c"), same).select("node", "o.n", "regs", "o.text").dropDuplicates(["node"])
+
+
+def _links(key: int, parts: np.ndarray, nodes: np.ndarray, labels: np.ndarray, regs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between different components of a bucket's nodes, none that the others among them make needless.
+
+    With two parts only pairs between them are compared. Pairs that share an earlier band meet in that band's bucket.
+    """
+    keys = bands(regs)
+    band = int(np.flatnonzero(keys[0] == key)[0])
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    n, root = np.array([len(s) for s in sets]), {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    _, at, size = np.unique(labels, return_inverse=True, return_counts=True)
+    two, out = len(np.unique(parts)) > 1, []
+    # Of the components, the largest needs no turn of its own: each pair has an end outside it.
+    for i in np.flatnonzero(at != size.argmax()):
+        able = labels != labels[i]
+        if two:
+            able &= parts != parts[i]
+        if band:
+            able &= ~(keys[:, :band] == keys[i, :band]).any(1)
+        if not able.any():
+            continue
+        lo, hi = np.searchsorted(tokens, sets[i], "left"), np.searchsorted(tokens, sets[i], "right")
+        spans = hi - lo
+        places = np.repeat(lo - np.r_[0, np.cumsum(spans)[:-1]], spans) + np.arange(spans.sum())
+        same = np.bincount(owner[places], minlength=len(sets))
+        for j in np.flatnonzero(able & (same * 100 >= (n + n[i] - same) * percent)):
+            a, b = find(int(labels[i])), find(int(labels[j]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))))
+    return out
+
+
+def _across(told: DataFrame, lead: DataFrame, size: int, percent: int) -> DataFrame:
+    """The links (a, b) that join components within buckets; candidate pairs are counted inside tasks, never written."""
+    parts, part = blocks()
+    rows = told.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "label")
+    rows = rows.join(lead.select("node", "regs", "text"), "node").select("key", "low", "high", "part", "node", "label", "regs", "text")
+
+    def run(batches):
+        held, last = [], None
+
+        def done():
+            parts, nodes, labels = (np.array(c, np.int64) for c in zip(*[(x[3], x[4], x[5]) for x in held], strict=True))
+            if len(np.unique(labels)) < 2:
+                return None
+            regs = np.frombuffer(b"".join(x[6] for x in held), np.uint16).reshape(-1, M)
+            found = _links(last[0], parts, nodes, labels, regs, shingle_sets([x[7] for x in held], size), percent)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"]) if found else None
+
+        for b in batches:
+            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if row[:3] != last and held:
+                    if (out := done()) is not None:
+                        yield out
+                    held = []
+                last = row[:3]
+                held.append(row)
+        if held and (out := done()) is not None:
+            yield out
+
+    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -166,12 +248,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     Documents whose sets of `size`-word shingles have 100 * intersection >= percent * union are linked; component_id is
     the smallest doc_id that links reach, kept tells whether it is the row's own. Null, empty and white texts have an
     empty set, no links and are kept. Equal sets are one class and are compared once, so repeated rows and groups of
-    copies make no pairs; if a doc_id repeats with other texts, these count as linked. Other columns are neither read
-    nor returned; an empty table gives no rows. Null doc_ids have null components.
+    copies make no pairs. If a doc_id repeats with other texts, each of its rows has the component of its own text; equal
+    rows are kept, or not, alike. Other columns are neither read nor returned; an empty table gives no rows. Rows without
+    a doc_id link like others; a component without any doc_id is null and its rows are kept.
     """
     own = keep(sketches(docs, size))
-    classes = own.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"))
-    lead = keep(own.alias("o").join(classes.alias("c"), (F.col("o.f1") == F.col("c.f1")) & (F.col("o.f2") == F.col("c.f2")) & (F.col("o.n") == F.col("c.n")) & (F.col("o.doc_id") == F.col("c.node"))).select("node", "o.n", "regs", "keys").dropDuplicates(["node"]))
+    classes = own.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
+    classes = keep(classes.withColumn("node", F.monotonically_increasing_id()))  # kept, so the ids stay
+    shared = shared_buckets(classes.select("node", "n", "keys"), BANDS, ROUNDS)
+    lead = keep(_leaders(docs, classes.join(bounded(shared.select("node").distinct()), "node"), size))
     least = percent / 100 - SLACK * math.sqrt(percent / 100 * (1 - percent / 100) / M)
 
     def guess(batches):
@@ -181,23 +266,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             if len(n_a):
                 yield b.select([0, 1]).filter(pa.array(likely(a, c, n_a, n_c) >= least))
 
+    def confirm(batches):
+        for b in batches:
+            for lo, hi in slices(b.column(2)):
+                part = b.slice(lo, hi - lo)
+                sets = [shingle_sets(part.column(i).to_pylist(), size) for i in (2, 3)]
+                same = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets, strict=True)])
+                total = np.array([len(x) + len(y) for x, y in zip(*sets, strict=True)])
+                yield part.select([0, 1]).filter(pa.array(same * 100 >= (total - same) * percent))
+
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda x: lead.select(F.col("node").alias(x), F.col("regs").alias(f"regs_{x}"), F.col("n").alias(f"n_{x}"))
-        full = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        side = lambda x, *cols: lead.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
+        full = pairs.join(side("a", "n"), "a").join(side("b", "n"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        full = full.select("a", "b").join(side("a", "regs", "n"), "a").join(side("b", "regs", "n"), "b")
         near = keep(full.select("a", "b", "regs_a", "regs_b", "n_a", "n_b").mapInArrow(guess, "a long, b long"))
-        ids = bounded(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        sets = keep(shingles(docs.join(ids, "doc_id", "left_semi"), size).join(lead.select(F.col("node").alias("doc_id"), "n"), "doc_id").where("size(shingles) = n").dropDuplicates(["doc_id"]))
-        side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s_{x}"))
-        both = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size(F.array_intersect("s_a", "s_b")).alias("i"), (F.size("s_a") + F.size("s_b")).alias("t"))
-        return both.where(F.col("i") * 100 >= (F.col("t") - F.col("i")) * percent).select("a", "b")
+        both = near.join(side("a", "text"), "a").join(side("b", "text"), "b").select("a", "b", "text_a", "text_b")
+        return both.mapInArrow(confirm, "a long, b long")
 
-    buckets = lead.select(F.explode("keys").alias("key"), "node", "n")
     fits = lambda a, b: F.least(f"n{a}", f"n{b}") * 100 >= F.greatest(f"n{a}", f"n{b}") * percent
-    label = connect(buckets, verify, fits)
-    of = classes.join(label, "node", "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("g"), F.coalesce("component", "node").alias("component_id"))
+    label = connect(shared, verify, fits, lambda told: _across(told, lead, size, percent))
+    told = classes.select("node", "f1", "f2", "n", "doc_id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    told = keep(told.select("component", F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("g"), "doc_id"))
+    lowest = told.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of = bounded(told.drop("doc_id").join(lowest, "component").drop("component"))
     rows = own.select("doc_id", "n", "f1", "f2").join(of, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") == F.col("g")), "left")
-    component = F.coalesce("component_id", "doc_id")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), component.isNull()).alias("kept"))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
