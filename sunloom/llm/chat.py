@@ -20,7 +20,8 @@ def rotate(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """Rows (conv_id, perspective, block, n_turns, n_target, text, mask) from columns conv_id, turn, role, text.
 
     perspective is a speaker of the conversation; a null role is the speaker "unknown" and a null text is empty. Turns
-    stand in the order (turn, role, text), null turns first; turns of one number and repeated rows are all rendered. A
+    stand in the order (turn, role, text), null turns first; turns of one number and repeated rows are all rendered. "<|"
+    in a text or name becomes "<||", so none can hold a mark; replacing it back restores them. A
     row holds the turns whose number has the same quotient by `block`; the blocks in order make up the dialogue. mask
     lists the character spans [start, end) of the block's text that the assistant says, its end mark included. Other
     columns are neither read nor returned; an empty table gives no rows; a null conv_id is a conversation of its own.
@@ -28,8 +29,8 @@ def rotate(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     t = turns.select(
         "conv_id",
         F.col("turn").cast("long").alias("turn"),
-        F.coalesce("role", F.lit("unknown")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("said"),
+        F.replace(F.coalesce("role", F.lit("unknown")), F.lit("<|"), F.lit("<||")).alias("role"),
+        F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("<||")).alias("said"),
         F.expr(f"CAST(coalesce(floor(turn / {int(block)}), -1) AS BIGINT)").alias("block"),
     )
     speakers = t.select(F.col("conv_id").alias("c"), F.col("role").alias("perspective")).distinct()
@@ -55,7 +56,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = """
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS said,
+WITH t AS (SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '<||') AS role, replace(coalesce(text, ''), '<|', '<||') AS said,
                   CAST(coalesce(floor(turn / 256.0), -1) AS BIGINT) AS block FROM conversations),
 s AS (SELECT DISTINCT conv_id AS c, role AS perspective FROM t),
 v AS (SELECT t.*, perspective, role = perspective AS mine,
