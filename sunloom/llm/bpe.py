@@ -26,6 +26,43 @@ _SPACE = r"\t-\r \x85\xa0  -     　"
 CACHE = 200_000
 
 
+# Fixed values of Unicode 16.0 and 17.0, beyond the 15.1 of Python 3.13's unicodedata: letters and numbers that 16.0 added,
+# as first and last code point, and lower-case forms of capitals that both added.
+ADDED = "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D40-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B-1138B 1138E-1138E 11390-113B5 113B7-113B7 113D1-113D1 113D3-113D3 116D0-116E3 11BC0-11BE0 11BF0-11BF9 13460-143FA 16100-1611D 16130-16139 16D40-16D6C 16D70-16D79 18CFF-18CFF 1CCF0-1CCF9 1E5D0-1E5ED 1E5F0-1E5FA"
+LOWERED = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LOWERED |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+
+
+@lru_cache(maxsize=1)
+def _newer() -> str:
+    """The ranges of code points that the regex module takes for letters or numbers, but the library's tables don't.
+
+    The library's pattern has the letters and numbers of Unicode 16.0; the regex module has newer tables.
+    """
+    every = "".join(chr(c) for c in chain(range(0xD800), range(0xE000, 0x110000)))
+    added = {c for x in ADDED.split() for a, b in [x.split("-")] for c in range(int(a, 16), int(b, 16) + 1)}
+    new = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c)[0] not in "LN" and ord(c) not in added]
+    ranges: list[list[int]] = []
+    for c in new:
+        if ranges and c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges)
+
+
+def _pattern(spec: dict) -> str:
+    """The file's own pattern of a word; files that normalize or cut otherwise are refused, not encoded wrongly."""
+    normal = [(x["type"], x.get("pattern"), x.get("content")) for x in (spec["normalizer"] or {}).get("normalizers", [])]
+    cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    split = next((x for x in cuts if x["type"] == "Split"), {})
+    known = [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+    plain = [x["type"] for x in cuts] == ["Split", "ByteLevel"] and split["behavior"] == "Removed" and split["invert"] and not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"]
+    if normal != known or not plain or spec["model"]["type"] != "BPE" or not spec["model"].get("end_of_word_suffix") or spec["decoder"]:
+        raise ValueError("only BPE files with NFC, white space replaced, lower case, a split by a pattern, bytes and word ends are encoded")
+    return split["pattern"]["Regex"]
+
+
 def _byte_chars() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -46,7 +83,11 @@ class WordBpe:
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.strings = {i: t for t, i in chain(self.vocab.items(), self.added.items())}
         self.chars = _byte_chars()
-        self.pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
+        pattern = _pattern(spec).replace(r"\s", _SPACE)
+        self.pattern = regex.compile(pattern)
+        # For the few texts with characters that only the regex module knows as letters or numbers.
+        self.newer = regex.compile(f"[{_newer()}{''.join(map(chr, LOWERED))}]")
+        self.exact = regex.compile(regex.sub(r"\](?=\+|\||$)", f"--[{_newer()}]]", pattern), regex.V1) if _newer() else self.pattern
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         self.cache: dict[str, tuple[bytes, str]] = {}
 
@@ -82,6 +123,8 @@ class WordBpe:
     def words(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if self.newer.search(text):
+                return self.exact.findall(text.lower().translate(LOWERED))
         return self.pattern.findall(text.lower())
 
     def encode(self, text: str) -> tuple[bytes, str]:

@@ -47,7 +47,7 @@ def _tokenized(df: DataFrame, *columns: Column | str) -> DataFrame:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row for each document row: doc_id, n_words, spans, items, n_hit.
+    """A row for each document row: doc_id, row (a hash of its text), n_words, spans, items, n_hit.
 
     docs has doc_id and text, benchmark item_id and text; other columns are neither read nor returned. A window is 10
     consecutive words of an item, or all words of an item of 1 to 9. spans is a sorted array of (start word, words) of
@@ -60,7 +60,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = sorted(r["size"] for r in items.select(F.least(F.size("words"), F.lit(WINDOW)).alias("size")).distinct().collect())  # ten values at most
     no_spans, no_items = F.array().cast("array<struct<start:int,size:int>>"), F.array().cast("array<string>")
     if not sizes:
-        return _tokenized(docs, "doc_id").select("doc_id", F.size("words").cast("long").alias("n_words"), no_spans.alias("spans"), no_items.alias("items"), F.lit(0).cast("long").alias("n_hit"))
+        return _tokenized(docs, "doc_id", F.xxhash64("text").alias("row")).select("doc_id", "row", F.size("words").cast("long").alias("n_words"), no_spans.alias("spans"), no_items.alias("items"), F.lit(0).cast("long").alias("n_hit"))
     size = F.least(F.size("words"), F.lit(WINDOW))
     windows = items.select("item_id", size.alias("size"), F.explode_outer(F.transform(F.sequence(F.lit(0), F.size("words") - size), lambda i: F.array_join(F.slice("words", i + 1, size), " "))).alias("window"))
     windows = windows.select("item_id", "size", "window", F.xxhash64("window").alias("print")).distinct()
@@ -99,7 +99,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     hits = hits.withColumn("n_hit", F.aggregate("spans", zero, step)["n"])
     out = seen.where("size = 0").alias("b").join(hits.alias("h"), F.col("b.doc_id").eqNullSafe(F.col("h.doc_id")) & F.col("b.row").eqNullSafe(F.col("h.row")), "left")
-    return out.select("b.doc_id", F.col("n").cast("long").alias("n_words"), F.coalesce("spans", no_spans).alias("spans"), F.coalesce("items", no_items).alias("items"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"))
+    return out.select("b.doc_id", "b.row", F.col("n").cast("long").alias("n_words"), F.coalesce("spans", no_spans).alias("spans"), F.coalesce("items", no_items).alias("items"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

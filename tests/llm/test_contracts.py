@@ -31,6 +31,28 @@ def test_bpe_equals_the_library(spark, odd):
     assert bpe_encode(odd.limit(0), path).count() == 0
 
 
+def test_bpe_on_every_code_point():
+    """Inside a word, alone, and behind one; all but surrogates."""
+    from tokenizers import Tokenizer
+
+    from sunloom.llm.bpe import WordBpe
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, own = Tokenizer.from_file(path), WordBpe(path)
+    lib.no_truncation(), lib.no_padding()
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(points), 4000):
+        text = " . ".join(f"ab{chr(c)}cd {chr(c)} e{chr(c)}" for c in points[lo : lo + 4000])
+        assert np.frombuffer(own.encode(text)[0], "<i4").tolist() == lib.encode(text, add_special_tokens=False).ids, hex(points[lo])
+
+
+def test_other_files_are_refused(tmp_path):
+    from sunloom.llm.bpe import WordBpe
+
+    with pytest.raises(ValueError, match="only BPE files"):
+        WordBpe(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def brute_components(rows, size, percent):
     sets = {}
     for i, text, _ in rows:
@@ -86,8 +108,9 @@ def test_leaks_on_odd_rows(spark, odd):
     from sunloom.llm.decontaminate import leaks
 
     passage = " ".join(f"p{i}" for i in range(14))
-    docs = odd.unionByName(spark.createDataFrame([(7, f"before {passage} after", "q")], SCHEMA))
+    docs = odd.unionByName(spark.createDataFrame([(7, f"before {passage} after", "q"), (None, passage, "q")], SCHEMA))
     bench = spark.createDataFrame([("b1", passage), ("b2", None), ("b3", ""), ("b4", "one two")], "item_id string, text string")
     got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in leaks(docs, bench).collect()}
+    assert got[None] == (14, 14, ["b1"])
     assert got[7] == (16, 14, ["b1"]) and got[4] == (2, 2, ["b4"]) and got[1] == (0, 0, []) and got[6] == (3000, 0, [])
     assert leaks(docs, bench.limit(0)).where("n_hit > 0").count() == 0 and leaks(docs.limit(0), bench).count() == 0
