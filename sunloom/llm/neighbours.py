@@ -1,8 +1,10 @@
 """Nearest neighbours by vantage-point trees, one per shard (operator 6).
 
 Vectors get one more coordinate that brings all to the largest norm, so the largest inner product is the smallest
-distance. Each shard builds a tree over its vectors and then streams the queries past it in blocks. A subtree is pruned
-by the triangle inequality; a relaxation factor above 1 prunes more, factor 1 is exact.
+distance. A bounded sample gives pivots; the vectors nearest to a pivot are its ball, and a large ball is dealt to several
+shards. Each shard builds a vantage-point tree and streams its queries past it in blocks. A query first visits a shard of
+its nearest ball, then all shards but those that the triangle inequality rules out by their ball's radius; inside a tree,
+subtrees are pruned in the same way. A relaxation factor above 1 prunes more, factor 1 is exact.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from .base import keep, table
 
 #: Vectors that a shard holds about, vectors of a leaf, and queries that go down a tree together.
 SHARD, LEAF, BLOCK = 4096, 256, 512
+#: Vectors of the sample that pivots come from, by smallest hash of the id, and pivots at most. Every vector is searched.
+SAMPLE, PIVOTS = 2048, 256
 
 
 class VpTree:
@@ -45,9 +49,9 @@ class VpTree:
             return rows
         return v, radius, self._build(rows[inside]), self._build(rows[~inside])
 
-    def search(self, qid: np.ndarray, q: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores), each (queries, k), best first; id -1 where there are fewer."""
-        self.qid, self.q = qid, q
+    def search(self, qid: np.ndarray, q: np.ndarray, factor: float, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores), each (queries, k), best first; id -1 where there are fewer. Scores under `least` may be left out."""
+        self.qid, self.q, self.least = qid, q, least
         self.norm = np.sqrt((q**2).sum(1))
         self.best = np.full((len(q), self.k), -np.inf)
         self.found = np.full((len(q), self.k), -1, np.int64)
@@ -56,7 +60,7 @@ class VpTree:
 
     def _reach(self, at: np.ndarray) -> np.ndarray:
         """The distance of the k-th best so far, from queries scaled to the norm `top`."""
-        kth = self.best[at, -1] * (self.top / self.norm[at])
+        kth = np.maximum(self.best[at, -1], self.least[at]) * (self.top / self.norm[at])
         return np.where(np.isinf(kth), np.inf, np.sqrt(np.maximum(0, 2 * (self.top**2 - kth))))
 
     def _visit(self, node, at: np.ndarray, factor: float) -> None:
@@ -76,7 +80,7 @@ class VpTree:
 
     def _leaf(self, rows: np.ndarray, at: np.ndarray) -> None:
         rough = self.q[at] @ self.x[rows].T
-        able = (rough >= self.best[at, -1:] - 1e-9 * self.top * self.norm[at, None]) & (self.ids[rows][None] != self.qid[at, None])
+        able = (rough >= np.maximum(self.best[at, -1:], self.least[at, None]) - 1e-9 * self.top * self.norm[at, None]) & (self.ids[rows][None] != self.qid[at, None])
         i, j = np.nonzero(able)
         exact = np.full(rough.shape, -np.inf)
         # One row's sum does not depend on its place, so equal vectors get equal scores.
@@ -100,29 +104,127 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     Both frames have id_col and vec_col (other columns are not read). Scores are sums in double precision; ties go to
     the smaller id, a query's own id is left out. Null ids and vectors that are null, empty, zero or hold null or
     non-finite components take no part; vectors meet queries of their own length only. Repeated rows of one id count as
-    rows of their own. Empty tables give no rows. factor 1 is exact, above it prunes more.
+    rows of their own among the vectors; equal queries are asked once, and each different vector of a query id has ranks
+    of its own. Empty tables give no rows. factor 1 is exact, above it prunes more.
     """
-    rows, ask = keep(_valid(vectors, id_col, vec_col)), _valid(queries, id_col, vec_col)
-    n, top = rows.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
-    shards = max(1, -(-n // SHARD))
+    rows = keep(_valid(vectors, id_col, vec_col))
+    ask = _valid(queries, id_col, vec_col).select("id", "v", F.xxhash64("id", "v").alias("q")).dropDuplicates(["q"])
+    top = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
     top = (top or 1.0) * (1 + 1e-12)
-    data = rows.select(F.lit(0).alias("kind"), F.size("v").alias("d"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "v")
-    asked = ask.select(F.lit(1).alias("kind"), F.size("v").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "id", "v")
-    dealt = data.unionByName(asked).repartition(max(shards, 2), "d", "shard").sortWithinPartitions("d", "shard", "kind", "id")
+    pivots = _pivots(rows, top)
+    placed = keep(_placed(rows, pivots, top))
+    balls = placed.groupBy("d", "ball").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()  # PIVOTS a vector length
+    parts = {(r["d"], r["ball"]): (-(-r["n"] // SHARD), r["radius"]) for r in balls}
+    number = F.create_map(*[F.lit(x) for (d, b), (m, _) in parts.items() for x in (f"{d} {b}", m)]) if parts else F.create_map().cast("map<string,int>")
+    data = placed.select(F.lit(0).alias("kind"), "d", "ball", F.pmod(F.xxhash64("id"), F.try_element_at(number, F.concat_ws(" ", "d", "ball"))).cast("int").alias("part"), F.lit(0).cast("long").alias("q"), "id", F.lit(0.0).alias("least"), "v")
+
+    first = _searched(data, keep(_visits(ask.withColumn("least", F.lit(float("-inf"))), pivots, parts, top, factor, True)), k, top, factor)
+    first = keep(first)
+    bound = first.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"))
+    again = ask.join(bound, "q", "left").select("id", "v", "q", F.when(F.col("n") >= k, F.col("low")).otherwise(float("-inf")).alias("least"))
+    rest = _searched(data, _visits(again, pivots, parts, top, factor, False), k, top, factor)
+    found = first.unionByName(rest)
+    order = W.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _pivots(rows: DataFrame, top: float) -> dict[int, np.ndarray]:
+    """For each vector length, pivots that lie far from each other, with their further coordinate, of a bounded sample."""
+    sizes = {r["d"]: r["n"] for r in rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = {}
+    for d, n in sizes.items():
+        sample = rows.where(F.size("v") == d).orderBy(F.xxhash64("id"), "id").select("v").limit(SAMPLE).collect()
+        x = _lifted(np.array([r["v"] for r in sample], float), top)
+        chosen, far = [0], ((x - x[0]) ** 2).sum(1)
+        while len(chosen) < min(PIVOTS, -(-n // SHARD), len(x)) and far.max() > 0:
+            chosen.append(int(far.argmax()))
+            far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
+        out[d] = x[chosen]
+    return out
+
+
+def _lifted(x: np.ndarray, top: float) -> np.ndarray:
+    return np.concatenate([x, np.sqrt(np.maximum(0, top * top - (x**2).sum(1)))[:, None]], 1)
+
+
+def _blocks(batch: pa.RecordBatch, column: int):
+    """(row numbers, vectors) of each vector length in a batch."""
+    v = batch.column(column)
+    flat, ends = v.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(v.value_lengths().to_numpy())].astype(np.int64)
+    size = np.diff(ends)
+    for d in np.unique(size):
+        at = np.flatnonzero(size == d)
+        yield at, flat[(ends[at][:, None] + np.arange(d)).reshape(-1)].reshape(len(at), d)
+
+
+def _placed(rows: DataFrame, pivots: dict[int, np.ndarray], top: float) -> DataFrame:
+    """(id, v, d, ball, far): the nearest pivot of each vector, and its distance."""
+
+    def run(batches):
+        for b in batches:
+            d, ball, far = np.zeros(len(b), np.int32), np.zeros(len(b), np.int32), np.zeros(len(b))
+            for at, x in _blocks(b, 1):
+                dot = _lifted(x, top) @ pivots[x.shape[1]].T
+                d[at], ball[at] = x.shape[1], dot.argmax(1)
+                far[at] = np.sqrt(np.maximum(0, 2 * (top * top - dot.max(1))))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d), pa.array(ball), pa.array(far)], names=["id", "v", "d", "ball", "far"])
+
+    return rows.mapInArrow(run, "id long, v array<double>, d int, ball int, far double")
+
+
+def _visits(ask: DataFrame, pivots: dict[int, np.ndarray], parts: dict[tuple[int, int], tuple[int, float]], top: float, factor: float, first: bool) -> DataFrame:
+    """A row for each shard that a query (id, v, q, least) visits: one of its nearest ball, or the others in reach."""
+
+    def run(batches):
+        for b in batches:
+            least, keys = b.column(3).to_numpy(zero_copy_only=False), b.column(2).to_numpy()
+            out = ([], [], [], [])
+            for at, x in _blocks(b, 1):
+                d = x.shape[1]
+                own = [i for i in range(len(pivots.get(d, ()))) if (d, i) in parts]
+                if not own:
+                    continue
+                norm = np.sqrt((x**2).sum(1))
+                dot = (x @ pivots[d][own][:, :-1].T) * (top / norm)[:, None]
+                gap = np.sqrt(np.maximum(0, 2 * (top * top - dot)))
+                home = gap.argmin(1)
+                with np.errstate(invalid="ignore"):
+                    reach = np.where(np.isinf(least[at]), np.inf, np.sqrt(np.maximum(0, 2 * (top * top - least[at] * (top / norm)))))
+                for j, ball in enumerate(own):
+                    m, radius = parts[d, ball]
+                    mine = np.abs(keys[at]) % m
+                    near = np.flatnonzero(home == j) if first else np.flatnonzero((gap[:, j] - radius) * factor <= reach + 1e-6 * top)
+                    for part in range(m):
+                        at_home = (home[near] == j) & (mine[near] == part)
+                        rows = at[near[at_home if first else ~at_home]]
+                        out[0].append(rows), out[1].append(np.full(len(rows), d)), out[2].append(np.full(len(rows), ball)), out[3].append(np.full(len(rows), part))
+            at = np.concatenate(out[0]) if out[0] else np.zeros(0, np.int64)
+            whole = b.take(pa.array(at))
+            d, ball, part = (pa.array(np.concatenate(c) if c else [], pa.int32()) for c in out[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), d, ball, part, whole.column(2), whole.column(0), whole.column(3), whole.column(1)], names=["kind", "d", "ball", "part", "q", "id", "least", "v"])
+
+    return ask.select("id", "v", "q", "least").mapInArrow(run, "kind int, d int, ball int, part int, q long, id long, least double, v array<double>")
+
+
+def _searched(data: DataFrame, asked: DataFrame, k: int, top: float, factor: float) -> DataFrame:
+    """(q, query_id, vec_id, score): what each query finds in each shard that it visits."""
+    keys = ["d", "ball", "part"]
+    dealt = data.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys, "kind", "id")
 
     def run(batches):
         key, held, tree = None, [], None
 
-        def parts():
+        def pieces():
             for b in batches:
-                kind, d, shard, ids = (b.column(i).to_numpy() for i in range(4))
-                flat = b.column(4).flatten().to_numpy()
+                d, ball, part, kind, q, ids, least = (b.column(b.schema.get_field_index(c)).to_numpy() for c in (*keys, "kind", "q", "id", "least"))
+                flat = b.column(b.schema.get_field_index("v")).flatten().to_numpy()
                 ends = np.r_[0, np.cumsum(d)]
-                cut = np.r_[0, np.flatnonzero((np.diff(kind) != 0) | (np.diff(d) != 0) | (np.diff(shard) != 0)) + 1, len(kind)] if len(kind) else [0]
+                new = np.any([np.diff(c) != 0 for c in (kind, d, ball, part)], axis=0)
+                cut = np.r_[0, np.flatnonzero(new) + 1, len(kind)] if len(kind) else [0]
                 for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                    yield (int(d[lo]), int(shard[lo])), int(kind[lo]), ids[lo:hi], flat[ends[lo] : ends[hi]].reshape(hi - lo, -1)
+                    yield (int(d[lo]), int(ball[lo]), int(part[lo])), int(kind[lo]), q[lo:hi], ids[lo:hi], least[lo:hi], flat[ends[lo] : ends[hi]].reshape(hi - lo, -1)
 
-        for now, kind, ids, x in parts():
+        for now, kind, q, ids, least, x in pieces():
             if now != key:
                 key, held, tree = now, [], None
             if kind == 0:
@@ -133,14 +235,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
                     continue
                 tree, held = VpTree(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), top, k), []
             for lo in range(0, len(ids), BLOCK):
-                own = ids[lo : lo + BLOCK]
-                found, best = tree.search(own, x[lo : lo + BLOCK], factor)
+                own = slice(lo, lo + BLOCK)
+                found, best = tree.search(ids[own], x[own], factor, least[own])
                 ok = ~np.isinf(best)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, ok.sum(1))), pa.array(found[ok]), pa.array(best[ok])], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q[own], ok.sum(1))), pa.array(np.repeat(ids[own], ok.sum(1))), pa.array(found[ok]), pa.array(best[ok])], names=["q", "query_id", "vec_id", "score"])
 
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return dealt.mapInArrow(run, "q long, query_id long, vec_id long, score double")
 
 
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
