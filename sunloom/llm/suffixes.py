@@ -21,10 +21,11 @@ from .base import bounded, keep, slices, table
 
 #: Bytes of a string, and of an anchor gram; bytes of shards that are sorted together at least; cuts of a shard at most.
 SPAN, GRAM, CHUNK, HOT = 50, 24, 200_000, 2_000
-#: Bytes of a text that are hashed together.
-PIECE = 1 << 20
+#: Bytes of a text that are hashed together; rounds that the anchors are dealt to.
+PIECE, ROUNDS = 1 << 20, 4
 SIDE = SPAN - GRAM
 _MULT = np.uint64(0x9E3779B97F4A7C15)
+_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
 def suffix_array(s: list[int], k: int) -> list[int]:
@@ -104,23 +105,45 @@ def common_prefixes(s: list[int], sa: list[int]) -> list[int]:
     return out
 
 
-def first_docs(cuts: list[bytes], docs: list[int]) -> list[np.ndarray]:
-    """For each cut the smallest document, of those of all cuts, for each of its SPAN-byte strings."""
-    s = [c for cut in cuts for c in (*(b + 2 for b in cut), 1)]
-    lengths = np.array([len(c) for c in cuts])
+def first_docs(cuts: list[bytes], before: list[int], docs: list[int]) -> list[np.ndarray]:
+    """For each cut the smallest document, of those of all cuts, for each of its SPAN-byte strings.
+
+    All cuts have one anchor, with `before` bytes before it; it is one symbol, so a string has SIDE + 1 of them.
+    """
+    s = [c for cut, n in zip(cuts, before, strict=True) for c in (*(b + 2 for b in cut[:n]), 258, *(b + 2 for b in cut[n + GRAM :]), 1)]
+    lengths, width = np.array([len(c) - GRAM + 1 for c in cuts]), SIDE + 1
     starts = np.r_[0, np.cumsum(lengths + 1)[:-1]]
-    sa = suffix_array(s, 258)
+    sa = suffix_array(s, 259)
     lcp, order = np.array(common_prefixes(s, sa)), np.array(sa)
     owner = np.repeat(np.arange(len(cuts)), lengths + 1)
-    whole = np.arange(len(s)) - starts[owner] <= lengths[owner] - SPAN
-    shared = lcp[order] >= SPAN  # of strings within their cuts, so no separator is among the bytes
+    whole = np.arange(len(s)) - starts[owner] <= lengths[owner] - width
+    shared = lcp[order] >= width  # of strings within their cuts, so no separator is among the symbols
     groups = np.cumsum(~shared) - 1
     low = np.full(groups[-1] + 1, np.iinfo(np.int64).max)
     ok = whole[order]
     np.minimum.at(low, groups[ok], np.array(docs, np.int64)[owner[order[ok]]])
     best = np.empty(len(s), np.int64)
     best[order] = low[groups]
-    return [best[a : a + n - SPAN + 1] for a, n in zip(starts, lengths, strict=True)]
+    return [best[a : a + n - width + 1] for a, n in zip(starts, lengths, strict=True)]
+
+
+def may_share(shards: np.ndarray, cuts: list[bytes], before: list[int]) -> np.ndarray:
+    """Which cuts may share a string with another of their shard: one of their strings' hashes comes twice there.
+
+    No cut that does share one is left out, so the others need no suffix array.
+    """
+    n, width = len(cuts), SPAN + SIDE
+    x, left = np.zeros((n, width), np.uint64), np.array(before)
+    for row, cut, b in zip(x, cuts, before, strict=True):
+        row[SIDE - b : SIDE - b + len(cut)] = np.frombuffer(cut, np.uint8)
+    right = np.array([len(c) for c in cuts]) - left - GRAM
+    power = np.cumprod(np.r_[np.uint64(1), np.full(width - 1, _MULT)], dtype=np.uint64)
+    total = np.concatenate([np.zeros((n, 1), np.uint64), np.cumsum((x + np.uint64(1)) * power, axis=1, dtype=np.uint64)], 1)
+    ext = np.arange(SIDE + 1)
+    h = (total[:, SPAN + SIDE - ext] - total[:, SIDE - ext]) * power[ext] + shards.astype(np.uint64)[:, None] * np.uint64(0xD6E8FEB86659FD93) + ext.astype(np.uint64)
+    whole = (left[:, None] >= ext) & (right[:, None] >= SIDE - ext)
+    _, at, count = np.unique(h[whole], return_inverse=True, return_counts=True)
+    return np.bincount(np.nonzero(whole)[0][count[at] > 1], minlength=n) > 0
 
 
 def _slid(x: np.ndarray, w: int, best) -> np.ndarray:
@@ -165,49 +188,82 @@ def _mapped(df: DataFrame, run, schema: str) -> DataFrame:
 
     def go(batches):
         for b in batches:
-            for lo, hi in slices(b.column(1)):
+            for lo, hi in slices(b.column(2)):
                 out = run(*[c.to_pylist() for c in b.slice(lo, hi - lo).columns])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
     return df.mapInArrow(go, schema)
 
 
-def _prints(ids, texts):
-    out = ([], [])
-    for i, t in zip(ids, texts, strict=True):
-        fps = np.unique(anchors(t)[1]).view(np.int64)
-        out[0].append(np.full(len(fps), i, np.int64))
-        out[1].append(fps)
-    return [np.concatenate(x) if x else [] for x in out]
+def _of_round(turn: tuple[int, int], data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    at, h = anchors(data)
+    ok = h % np.uint64(turn[1]) == turn[0]
+    return at[ok], h[ok]
+
+
+def _prints(turn: tuple[int, int]):
+    def run(ids, rows, texts):
+        out = ([], [])
+        for i, t in zip(ids, texts, strict=True):
+            fps = np.unique(_of_round(turn, t)[1]).view(np.int64)
+            out[0].append(np.full(len(fps), i, np.int64))
+            out[1].append(fps)
+        return [np.concatenate(x) if x else [] for x in out]
 
+    return run
 
-def _cuts(ids, texts, prints):
-    doc, fps, start, before, cuts = [], [], [], [], []
-    for i, t, p in zip(ids, texts, prints, strict=True):
-        at, h = anchors(t)
-        ok = np.isin(h.view(np.int64), np.array(p, np.int64))
-        for a, f in zip(at[ok].tolist(), h[ok].view(np.int64).tolist(), strict=True):
-            lo = max(0, a - SIDE)
-            doc.append(i), fps.append(f), start.append(lo), before.append(a - lo), cuts.append(t[lo : a + GRAM + SIDE])
-    return doc, fps, start, before, cuts
+
+def _places(turn: tuple[int, int], piece: int):
+    """Rows (doc_id, row, fp, anchor, left, right, context): places of anchors, the bytes beside them, and a hash of these."""
+
+    def run(ids, rows, texts):
+        out = tuple([] for _ in range(7))
+        for i, r, t in zip(ids, rows, texts, strict=True):
+            for lo in range(0, max(1, len(t)), piece):  # an anchor that two pieces have comes twice, which does no harm
+                off, end = max(0, lo - SIDE), min(len(t), lo + piece + SPAN + SIDE)
+                at, h = _of_round(turn, t[lo : lo + piece + SPAN - 1])
+                if not len(at):
+                    continue
+                at = at + lo
+                left, right = np.minimum(SIDE, at), np.minimum(SIDE, len(t) - at - GRAM)
+                n = end - off
+                power = np.cumprod(np.r_[np.uint64(1), np.full(n, _MULT)], dtype=np.uint64)
+                back = np.cumprod(np.r_[np.uint64(1), np.full(n, _INV)], dtype=np.uint64)
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((np.frombuffer(t[off:end], np.uint8).astype(np.uint64) + np.uint64(1)) * power[:n], dtype=np.uint64)])
+                a, b = at - left - off, at + GRAM + right - off
+                c = (total[b] - total[a]) * back[a]
+                c = (c ^ (c >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                for x, v in zip(out, (np.full(len(at), i, np.int64), np.full(len(at), r, np.int64), h.view(np.int64), at, left, right, c.view(np.int64)), strict=True):
+                    x.append(v)
+        return [np.concatenate(x) if x else [] for x in out]
+
+    return run
 
 
 def _sorted_shards(batches):
-    """Suffix arrays over consecutive shards; rows (cid, key, low, high, cut, first) come sorted by shard."""
+    """Suffix arrays over shards; rows (cid, key, low, high, before, cut, first) come sorted by shard.
+
+    The shards of a chunk are looked through together for cuts that may share a string; those make up suffix arrays.
+    """
     held, total, last = [], 0, None
 
     def flush():
-        lows = first_docs([c for _, c, _ in held], [d for _, _, d in held])
-        return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in held], pa.int64()), pa.array([x.tolist() for x in lows], pa.list_(pa.int64()))], names=["cid", "lows"])
+        shards = np.cumsum([x[1:4] != y[1:4] for x, y in zip(held, [held[0], *held[:-1]], strict=True)])
+        lows = [np.full(len(x[5]) - SPAN + 1, x[6], np.int64) for x in held]
+        active = np.flatnonzero(may_share(shards, [x[5] for x in held], [x[4] for x in held]))
+        for own in np.split(active, np.flatnonzero(np.diff(shards[active])) + 1) if len(active) else []:
+            for i, found in zip(own, first_docs([held[i][5] for i in own], [held[i][4] for i in own], [held[i][6] for i in own]), strict=True):
+                lows[i] = found
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in lows])], pa.int32()), pa.array(np.concatenate(lows)))], names=["cid", "lows"])
 
     for b in batches:
-        for cid, key, low, high, cut, first in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            if (key, low, high) != last and total >= CHUNK:
+        for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            if row[1:4] != last and total >= CHUNK:
                 yield flush()
                 held, total = [], 0
-            last = key, low, high
-            held.append((cid, cut, first))
-            total += len(cut)
+            last = row[1:4]
+            held.append(row)
+            total += len(row[5])
     if held:
         yield flush()
 
@@ -244,7 +300,7 @@ def _lows(classes: DataFrame) -> DataFrame:
         own = keep(own.withColumn("cid", F.monotonically_increasing_id()))  # kept, so the ids stay
         sizes = own.groupBy(*_SHARD).agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("a"), F.max("last").alias("b")).where("a < b")
         sizes = keep(sizes.select(*_SHARD, "n"))
-        ready = own.join(sizes.where(f"n <= {HOT}").drop("n"), _SHARD).where(f"length(cut) >= {SPAN}").select("cid", *_SHARD, "cut", "first")
+        ready = own.join(sizes.where(f"n <= {HOT}").drop("n"), _SHARD).where(f"length(cut) >= {SPAN}").select("cid", *_SHARD, "before", "cut", "first")
         lows = ready.repartition(*_SHARD).sortWithinPartitions(*_SHARD).mapInArrow(_sorted_shards, "cid long, lows array<long>")
         of = cuts.join(own.select(*_SHARD, "before", "cut", "cid"), [*_SHARD, "before", "cut"]).select("id", "before", "cid")
         found.append(keep(of.join(lows, "cid").drop("cid")))
@@ -254,14 +310,14 @@ def _lows(classes: DataFrame) -> DataFrame:
         cuts = keep(_halves(cuts.join(hot, _SHARD)))
 
 
-def _kept(ids, texts, starts):
+def _kept(ids, rows, texts, spans):
     out = ([], [], [], [], [])
-    for i, t, s in zip(ids, texts, starts, strict=True):
+    for i, t, s in zip(ids, texts, spans, strict=True):
         n, gone = len(t), np.zeros(len(t) + 1, np.int32)
         if s:
-            at = np.unique(np.array(s))
-            np.add.at(gone, at, 1)
-            np.add.at(gone, at + SPAN, -1)
+            ends = np.array([(x["a"], x["b"]) for x in s])
+            np.add.at(gone, ends[:, 0], 1)
+            np.add.at(gone, ends[:, 1], -1)
         gone = np.cumsum(gone[:n]) > 0
         rest = np.frombuffer(t, np.uint8)[~gone].tobytes()
         edges = int(np.sum(gone & ~np.r_[False, gone[:-1]])) if n else 0
@@ -270,30 +326,50 @@ def _kept(ids, texts, starts):
     return out
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def _spans_of_round(own: DataFrame, turn: tuple[int, int], piece: int) -> DataFrame:
+    """(doc_id, row, spans array<(a, b)>): bytes a to b - 1 are covered by strings of smaller documents."""
+    prints = _mapped(own, _prints(turn), "doc_id long, fp long")
+    common = bounded(prints.groupBy("fp").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("fp"))
+    places = _mapped(own, _places(turn, piece), "doc_id long, row long, fp long, anchor long, left int, right int, context long")
+    places = keep(places.join(common, "fp", "left_semi"))
+    cut = ["fp", "left", "right", "context"]
+    classes = places.groupBy(*cut).agg(F.min(F.struct("doc_id", "row", "anchor")).alias("at"), F.max("doc_id").alias("last"))
+    classes = keep(classes.withColumn("id", F.monotonically_increasing_id()))  # kept, so the ids stay
+    several = bounded(classes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"))
+    # The bytes of a cut come from one of its places; an anchor with one cut has nothing to be sorted.
+    bytes_of = classes.join(several, "fp", "left_semi").select("id", "fp", F.col("left").alias("before"), "right", F.col("at.doc_id").alias("first"), "last", F.col("at.row").alias("row"), F.col("at.anchor").alias("anchor"))
+    bytes_of = bounded(bytes_of).join(own.select(F.col("doc_id").alias("first"), "row", "data"), ["first", "row"])
+    start, length = F.col("anchor") - F.col("before") + 1, F.col("before") + F.col("right") + GRAM
+    lows = _lows(bytes_of.select("id", "fp", "before", F.substr("data", start.cast("int"), length.cast("int")).alias("cut"), "first", "last").dropDuplicates(["id"]))
+    mine = places.join(classes.select("id", *cut, F.col("at.doc_id").alias("first")), cut).select("id", "doc_id", "row", "anchor", "left", "right", "first")
+    single = mine.join(several.join(classes.select("fp", "id"), "fp").select("id"), "id", "left_anti").where(f"first < doc_id AND left + right >= {SIDE}")
+    one = single.select("doc_id", "row", F.array(F.struct((F.col("anchor") - F.col("left")).alias("a"), (F.col("anchor") + GRAM + F.col("right")).alias("b"))).alias("spans"))
+    # The runs of strings that a smaller document has.
+    less = lambda i: F.coalesce(F.get("lows", i) < F.col("doc_id"), F.lit(False))
+    number = F.sequence(F.lit(0), F.size("lows") - 1)
+    begin = F.filter(number, lambda i: less(i) & ~less(i - 1))
+    end = F.filter(number, lambda i: less(i) & ~less(i + 1))
+    base = F.col("anchor") - F.col("before")
+    more = mine.join(lows, "id").select("doc_id", "row", F.zip_with(begin, end, lambda a, b: F.struct((base + a).alias("a"), (base + b + SPAN).alias("b"))).alias("spans")).where(F.size("spans") > 0)
+    return keep(one.unionByName(more))
+
+
+def repeated(docs: DataFrame, rounds: int = ROUNDS, piece: int = PIECE) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each document.
 
     Removed is each byte covered by a SPAN-byte string that also starts in a document of smaller doc_id, judged on the
     input; texts are UTF-8 bytes and matches never cross documents. Null and empty texts have no bytes. Rows without a
     doc_id come first in no order and lose nothing. Rows of one doc_id don't take from each other; each gives a row, and
-    loses what either of them shares with smaller documents at the same place. Other columns are neither read nor
-    returned; an empty table gives no rows. A long text is held whole by one task.
+    loses what it shares with smaller documents. Other columns are neither read nor returned; an empty table gives no
+    rows. A long text is held whole by one task. Anchors are dealt to rounds by their hash, so that only the places of one
+    round are on disk at once.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(data).alias("row"), data.alias("data"))
     own = texts.where("doc_id IS NOT NULL")
-    prints = _mapped(own, _prints, "doc_id long, fp long")
-    common = bounded(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"))
-    wanted = keep(prints.join(common, "fp", "left_semi").groupBy("doc_id").agg(F.collect_set("fp").alias("prints")))
-    some = own.join(bounded(wanted.select("doc_id")), "doc_id", "left_semi").join(wanted, "doc_id")
-    cuts = keep(_mapped(some, _cuts, "doc_id long, fp long, start long, before int, cut binary"))
-    classes = cuts.groupBy("fp", "before", "cut").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    classes = keep(classes.withColumn("id", F.monotonically_increasing_id()))  # kept, so the ids stay
-    lows = _lows(classes)
-    mine = cuts.join(classes.select("id", "fp", "before", "cut"), ["fp", "before", "cut"]).select("id", "doc_id", (F.col("start") + F.col("before")).alias("anchor"))
-    hits = mine.join(lows, "id").select("doc_id", F.filter(F.transform("lows", lambda low, i: F.when(low < F.col("doc_id"), F.col("anchor") - F.col("before") + i)), lambda s: s.isNotNull()).alias("s"))
-    gone = hits.where(F.size("s") > 0).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("starts"))
-    # A repeated doc_id brings starts of other rows; those beyond a text's end are left out.
-    back = texts.join(gone, "doc_id", "left").select("doc_id", "data", F.filter("starts", lambda s: s + SPAN <= F.length("data")).alias("starts"))
+    spans = reduce(DataFrame.unionByName, [_spans_of_round(own, (turn, rounds), piece) for turn in range(rounds)])
+    gone = spans.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    back = texts.join(gone, ["doc_id", "row"], "left").select("doc_id", "row", "data", "spans")
     return _mapped(back, _kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

@@ -36,6 +36,14 @@ def brute(rows):
     return out
 
 
+def test_long_texts_are_cut_into_pieces(spark):
+    rng = random.Random(4)
+    part = "".join(rng.choices("abcdef ", k=900))
+    rows = [(i, "".join(rng.choices("ghijk", k=rng.randint(0, 400))) + part[rng.randint(0, 300) : rng.randint(500, 900)] + "z" * 120) for i in range(12)]
+    got = {r[0]: tuple(r[1:]) for r in S.repeated(spark.createDataFrame(rows, "doc_id long, text string"), 1, 256).collect()}
+    assert got == brute([(i, t.encode()) for i, t in rows])
+
+
 def test_repeated(spark, monkeypatch):
     rng = random.Random(2)
     parts = ["".join(rng.choices("ab é", k=rng.choice([20, 30, 49, 50, 51, 120]))) for _ in range(12)]
@@ -43,8 +51,11 @@ def test_repeated(spark, monkeypatch):
     rows = [(i, "".join(rng.choice(parts) if rng.random() < 0.5 else "".join(rng.choices("abcdefgh ", k=40)) for _ in range(6)) + line + str(rng.random())) for i in range(60)]
     rows += [(60, None), (61, ""), (62, "a" * 400), (63, "a" * 300), (64, rows[3][1])]
     want = brute([(i, (t or "").encode()) for i, t in rows])
-    for hot in (2_000, 3, 1):
+    rows += [(64, rows[3][1]), (None, rows[5][1])]  # a repeated row, and one without a doc_id
+    for hot, rounds in ((2_000, 1), (1, 2)):
         monkeypatch.setattr(S, "HOT", hot)
-        got = {r[0]: tuple(r[1:]) for r in S.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-        assert got == want
+        out = S.repeated(spark.createDataFrame(rows, "doc_id long, text string"), rounds).collect()
+        assert len(out) == len(rows)
+        got = {r[0]: tuple(r[1:]) for r in out}
+        assert got.pop(None)[1:3] == (0, 0) and got == want
     assert S.repeated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
