@@ -159,3 +159,42 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         names(F.col("base.label")).alias("base_labels"), names(F.col("base.label"), F.col("found.label")).alias("labels"),
         F.when(n > 0, 1.0).otherwise(F.coalesce(F.array_max("found.score"), F.lit(0.0))).alias("score"),
     )
+
+
+def _sql() -> str:
+    """The same rule over all words and places of all templates, in DuckDB SQL."""
+    quoted = lambda x: "'" + x + "'"
+    words_of = lambda p: "[" + ", ".join(map(quoted, p.split())) + "]"
+    rows = lambda items: ", ".join("(" + ", ".join(x) + ")" for x in items)
+    at = lambda t, k: next(i for i in range(len(t.split())) if t.split()[i : i + len(k.split())] == k.split())
+    templates = rows([(str(i), quoted(label), words_of(t), words_of(k), str(at(t, k))) for i, (label, t, k) in enumerate(TEMPLATES)])
+    base = rows([(quoted(label), words_of(p)) for p, label in BASE.items()])
+    split = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+    return f"""
+WITH d AS (SELECT doc_id, {split} AS w FROM documents),
+t(tid, label, tw, kw, key_at) AS (VALUES {templates}), b(label, bw) AS (VALUES {base}),
+x AS (SELECT doc_id, CAST(i AS INT) AS pos, w[i + 1] AS word FROM d, unnest(range(0, len(w))) AS u(i)),
+voc AS (SELECT DISTINCT unnest(tw) AS word FROM t UNION SELECT unnest(bw) FROM b),
+df AS (SELECT word, count(DISTINCT doc_id) AS n FROM x JOIN voc USING (word) GROUP BY word),
+idf AS (SELECT word, ln(((SELECT count(*) FROM d) + 1) / (coalesce(n, 0) + 1)) + 1 AS idf FROM voc LEFT JOIN df USING (word)),
+tp AS (SELECT tid, CAST(i AS INT) AS tpos, tw[i + 1] AS word FROM t, unnest(range(0, len(tw))) AS u(i)),
+top AS (SELECT tid, word, idf, row_number() OVER (PARTITION BY tid ORDER BY idf DESC, word) AS k FROM (SELECT DISTINCT tid, word FROM tp) JOIN idf USING (word)),
+post AS (SELECT tid, tpos, word, idf FROM tp JOIN top USING (tid, word) WHERE k <= {LOOKUPS}),
+total AS (SELECT tid, sum(idf) AS total FROM post GROUP BY tid),
+phrases AS (SELECT DISTINCT kw AS p FROM t UNION SELECT bw FROM b),
+stand AS (SELECT doc_id, pos, p FROM x JOIN phrases ON word = p[1] JOIN d USING (doc_id) WHERE w[pos + 1:pos + len(p)] = p),
+agree AS (SELECT doc_id, tid, pos - tpos AS start, sum(idf) AS s FROM x JOIN post USING (word) WHERE doc_id IN (SELECT doc_id FROM stand) GROUP BY ALL),
+found AS (SELECT a.doc_id, t.label, round(s / total, 6) AS score FROM agree a JOIN t USING (tid) JOIN total USING (tid)
+          JOIN stand ON stand.doc_id = a.doc_id AND p = kw AND pos = start + key_at WHERE round(s / total, 6) >= {SHARE}),
+bs AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM stand JOIN b ON p = bw GROUP BY doc_id),
+bl AS (SELECT DISTINCT doc_id, label FROM stand JOIN b ON p = bw), fl AS (SELECT DISTINCT doc_id, label FROM found),
+bt AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM bl GROUP BY doc_id),
+al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT * FROM bl UNION SELECT * FROM fl) GROUP BY doc_id),
+sc AS (SELECT doc_id, max(score) AS score FROM found GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN bs USING (doc_id) LEFT JOIN bt USING (doc_id) LEFT JOIN al USING (doc_id) LEFT JOIN sc USING (doc_id)
+"""
+
+
+OP10_SQL = _sql()

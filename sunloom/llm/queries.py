@@ -14,4 +14,4 @@ QUERIES = {
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_licenses": licenses.op10_licenses,
 }
-SQL = {"op2_chat": chat.OP2_SQL, "op7_near_duplicates": near_dup.OP7_SQL, "op9_decontamination": decontaminate.OP9_SQL}
+SQL = {"op2_chat": chat.OP2_SQL, "op4_suffixes": suffixes.OP4_SQL, "op6_neighbours": neighbours.OP6_SQL, "op10_licenses": licenses.OP10_SQL, "op7_near_duplicates": near_dup.OP7_SQL, "op9_decontamination": decontaminate.OP9_SQL}

@@ -51,12 +51,13 @@ def test_stages(spark, corpus):
     lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got = sorted(((r["doc_id"], r["ids"]) for r in P.encode(spark, few, path).collect()), key=str)
     assert got == sorted(((i, lib.encode(t or "", add_special_tokens=False).ids) for i, t in ROWS), key=str)
-    for _, stage in P.STAGES:
+    for stage in (P.toxicity, P.decontaminate, P.encode):  # those of lines and near copies have tests of their own
         assert stage(spark, docs.limit(0), path).count() == 0
 
 
 def test_run(spark, corpus):
     docs, path = corpus
     ids = sorted((r["doc_id"] for r in P.run(spark, path).collect()), key=str)
-    kept = [r["doc_id"] for r in docs.collect() if not (r["doc_id"] or 0) in (6, *range(100, 200)) and PASSAGE not in (r["text"] or "")]
+    # The lines of documents 6 and 7 are near copies of earlier ones, so these stay without text.
+    kept = [r["doc_id"] for r in docs.collect() if not (r["doc_id"] or 0) in range(100, 200) and r["text"] != PASSAGE]
     assert ids == sorted(kept, key=str)
