@@ -22,7 +22,7 @@ from .base import bounded, keep, slices, table
 #: Bytes of a string, and of an anchor gram; bytes of shards that are sorted together at least; cuts of a shard at most.
 SPAN, GRAM, CHUNK, HOT = 50, 24, 200_000, 2_000
 #: Bytes of a text that are hashed together; rounds that the anchors are dealt to.
-PIECE, ROUNDS = 1 << 20, 4
+PIECE, ROUNDS = 1 << 20, 2
 SIDE = SPAN - GRAM
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -375,3 +375,19 @@ def repeated(docs: DataFrame, rounds: int = ROUNDS, piece: int = PIECE) -> DataF
 
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c100 AS (SELECT doc_id, c, substr(h, CAST(200 * c + 1 AS BIGINT), 298) AS x FROM d, unnest(range(0, (len(h) // 2 - 50) // 100 + 1)) AS t(c) WHERE len(h) >= 100),
+s AS (SELECT doc_id, 100 * c + i AS p, hash(substr(x, CAST(2 * i + 1 AS BIGINT), 100)) AS g FROM c100, unnest(range(0, least(100, len(x) // 2 - 49))) AS u(i)),
+f AS (SELECT g, min(doc_id) AS low FROM s GROUP BY g),
+c AS (SELECT doc_id, p, p > lag(p, 1, -100) OVER (PARTITION BY doc_id ORDER BY p) + 50 AS new FROM s JOIN f USING (g) WHERE low < doc_id),
+n AS (SELECT doc_id, p, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM c),
+r AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM n GROUP BY doc_id, k),
+q AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM r),
+m AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans, max(b) AS last, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS parts FROM q JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(parts, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN m USING (doc_id)
+"""
