@@ -51,7 +51,8 @@ def shared_buckets(sketches: DataFrame, bands: int, rounds: int) -> DataFrame:
         ends = bounded(own.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low"))
         found.append(keep(own.join(ends, "key")))
         del own, ends
-    return reduce(DataFrame.unionByName, found)
+    # Few rows in the partitions of all rounds: no more of them than after a shuffle.
+    return reduce(DataFrame.unionByName, found).coalesce(int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def connect(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], Column], across: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
