@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, chat, decontaminate, licenses, line_dup, near_dup, neighbours, suffixes, token_counts, toxicity
+from . import alignment, bpe, chat, decontaminate, licenses, line_dup, near_dup, neighbours, spelling, suffixes, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,5 +13,8 @@ QUERIES = {
     "op8_lines": line_dup.op8_lines,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_licenses": licenses.op10_licenses,
+    "op11_spelling": spelling.op11_spelling,
+    "op12_token_files": token_files.op12_token_files,
+    "op13_alignment": alignment.op13_alignment,
 }
-SQL = {"op2_chat": chat.OP2_SQL, "op4_suffixes": suffixes.OP4_SQL, "op6_neighbours": neighbours.OP6_SQL, "op10_licenses": licenses.OP10_SQL, "op7_near_duplicates": near_dup.OP7_SQL, "op9_decontamination": decontaminate.OP9_SQL}
+SQL = {"op2_chat": chat.OP2_SQL, "op4_suffixes": suffixes.OP4_SQL, "op6_neighbours": neighbours.OP6_SQL, "op10_licenses": licenses.OP10_SQL, "op7_near_duplicates": near_dup.OP7_SQL, "op9_decontamination": decontaminate.OP9_SQL, "op11_spelling": spelling.OP11_SQL}
