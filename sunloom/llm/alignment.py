@@ -2,6 +2,8 @@
 
 A text's bytes get a label each: none, end of a token of A, end of one of B, or of both. A regular expression takes the
 spans up to each byte that ends both; the labels that a span holds tell how many tokens of A and of B make up its group.
+Where both tokenizers always cut, before single spaces, texts are cut into parts, and a part that came before isn't aligned
+again.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +20,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import keep, map_texts, shared, table
-from .byte_bpe import byte_bpe
+from .byte_bpe import byte_bpe, parts
 
 #: Labels of a byte: no end, A's, B's, both.
 NONE, ENDS_A, ENDS_B, BOTH = b".AB*"
 _LABELS = np.frombuffer(b".AB*", np.uint8)
 _SPAN = re.compile(rb"[^*]*\*")
 #: Distinct pairs of ids up to which their counts go to each task; more are joined with a shuffle. Links counted at once.
-PAIRS, HELD = 2_000_000, 4_000_000
+PAIRS, HELD = 2_000_000, 1_000_000
+#: Parts of texts that one worker remembers, and how long they are at most.
+CACHE, SHORT = 150_000, 60
 
 
 class Pieces:
@@ -37,6 +42,19 @@ class Pieces:
         self.size = self.sp.get_piece_size()
         self.bytes = [bytes([int(p[3:5], 16)]) if self.sp.is_byte(i) else b"" if self.sp.is_control(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(self.sp.id_to_piece, range(self.size)))]
 
+        # A path is cut before each space if spaces come through as they are and no piece has a mark behind another character.
+        m = self._model(path)
+        norm = m.normalizer_spec
+        plain = norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces and not norm.precompiled_charsmap and not m.trainer_spec.treat_whitespace_as_suffix
+        self.cuts = bool(plain) and not any("▁" in p.piece.lstrip("▁") for p in m.pieces)
+
+    @staticmethod
+    def _model(path: str):
+        from sentencepiece import sentencepiece_model_pb2
+
+        with open(path, "rb") as f:
+            return sentencepiece_model_pb2.ModelProto.FromString(f.read())
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.sp.encode(texts, num_threads=1)
 
@@ -61,35 +79,69 @@ class Aligner:
         self.a, self.b = byte_bpe(a), pieces(b)
         self.size_a, self.size_b = (np.array([len(x) for x in t.bytes]) for t in (self.a, self.b))
         self.text_a, self.text_b = ([str(i) for i in range(t.size)] for t in (self.a, self.b))
-        self.shapes = _Shapes()
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """The ids by A and by B; none of either where the bytes of one are not those of a space and the text."""
-        out = []
-        for text, b in zip(texts, self.b.encode(texts), strict=True):
-            a, whole = self.a.encode(f" {text}", plain=True) if text else [], f" {text}".encode()
-            same = text and b"".join([self.a.bytes[i] for i in a]) == whole and b"".join([self.b.bytes[i] for i in b]) == whole
-            out.append((a, b) if same else ([], []))
-        return out
+        self.shapes, self.cache = _Shapes(), {}
 
     def labels(self, a: np.ndarray, b: np.ndarray) -> bytes:
+        """The label of each byte; a and b are ids whose bytes are the same."""
         ends = np.cumsum(self.size_a[a])
         marks = np.zeros(ends[-1] if len(ends) else 0, np.uint8)
         marks[ends - 1] = 1
         marks[np.cumsum(self.size_b[b]) - 1] += 2
         return _LABELS[marks].tobytes()
 
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[int, int]]:
-        """The number of tokens of A and of B in each group."""
-        shapes = self.shapes
-        return [shapes[s] for s in _SPAN.findall(self.labels(np.array(a, int), np.array(b, int)))]
-
-    def render(self, a: list[int], b: list[int], groups: list[tuple[int, int]]) -> str:
-        i, j, out, ta, tb = 0, 0, [], [self.text_a[x] for x in a], [self.text_b[x] for x in b]
-        for m, n in groups:
+    def _same(self, text: str, a: list[int], b: list[int]) -> bool:
+        whole = f" {text}".encode()
+        return b"".join([self.a.bytes[i] for i in a]) == whole and b"".join([self.b.bytes[i] for i in b]) == whole
+
+    def _aligned(self, a: list[int], b: list[int], bounds: np.ndarray) -> list[tuple[int, int, str, bytes]]:
+        """(n_a, n_b, groups, links) of each of the stretches of bytes that end at bounds, where tokens of both end."""
+        x, y = np.array(a, int), np.array(b, int)
+        spans = _SPAN.findall(self.labels(x, y))
+        shapes = [self.shapes[s] for s in spans]
+        i, j, out, ta, tb = 0, 0, [], [self.text_a[k] for k in a], [self.text_b[k] for k in b]
+        for m, n in shapes:
             out.append(f"{ta[i]}|{tb[j]}" if m == n == 1 else f"{','.join(ta[i : i + m])}|{','.join(tb[j : j + n])}")
             i, j = i + m, j + n
-        return ";".join(out)
+        last = np.cumsum(np.array(shapes, int).reshape(-1, 2), axis=0)
+        links = np.stack([x[last[:, 0] - 1], y[last[:, 1] - 1]], axis=1).astype("<u4").tobytes()
+        # The group that ends with each stretch, and how many tokens there are up to it.
+        upto = np.searchsorted(np.cumsum([len(s) for s in spans]), bounds) + 1
+        n = np.diff(last[upto - 1], axis=0, prepend=0).tolist()
+        upto = upto.tolist()
+        return [(*k, ";".join(out[i:j]), links[8 * i : 8 * j]) for k, i, j in zip(n, [0, *upto], upto, strict=False)]
+
+    def _whole(self, text: str) -> tuple[int, int, str, bytes] | None:
+        """Of one text; None where the bytes of either tokenizer are not those of a space and the text."""
+        a, b = self.a.encode(f" {text}", plain=True), self.b.encode([text])[0]
+        return self._aligned(a, b, np.array([1 + len(text.encode())]))[0] if self._same(text, a, b) else None
+
+    def _many(self, own: list[str]) -> dict[str, tuple[int, int, str, bytes] | None]:
+        """Of parts without white space at either end: as one text, since both tokenizers cut before each."""
+        if not own:
+            return {}
+        a, each = self.a.encode("".join([f" {p}" for p in own]), plain=True), self.b.encode(own)
+        b = [i for x in each for i in x]
+        sizes = [1 + len(p.encode()) for p in own]
+        if self._same(" ".join(own), a, b) and sizes == [sum([len(self.b.bytes[i]) for i in x]) for x in each]:
+            return dict(zip(own, self._aligned(a, b, np.cumsum(sizes)), strict=True))
+        return {p: self._whole(p) for p in own}
+
+    def align(self, texts: list[str]) -> list[tuple[int, int, str, bytes]]:
+        """(n_a, n_b, groups, links) of each text."""
+        cut = [(parts(t) if self.b.cuts else [t]) if t else [] for t in texts]
+        new = [p for p in set().union(*cut) if p not in self.cache]
+        short = [p for p in new if len(p) <= SHORT and not p[0].isspace() and not p[-1].isspace()]
+        known = self._many(short)
+        self.cache.update(list(known.items())[: max(0, CACHE - len(self.cache))])
+        known |= {p: self._whole(p) for p in set(new).difference(short)}
+        out, get = [], self.cache.get
+        for text, own in zip(texts, cut, strict=True):
+            found = [get(p) or known.get(p) for p in own]
+            if None in found:  # the whole text decides
+                found = [x for x in [self._whole(text)] if x]
+            a, b = (sum(map(itemgetter(i), found)) for i in (0, 1))
+            out.append((a, b, ";".join(map(itemgetter(2), found)), b"".join(map(itemgetter(3), found))))
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -111,18 +163,12 @@ def align(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str
         own = aligner(a, b)
 
         def work(texts: list[str]) -> list[pa.Array]:
-            counts, strings, links = [], [], []
-            for x, y in own.encode(texts):
-                groups = own.groups(x, y)
-                counts.append((len(x), len(y), len(groups)))
-                strings.append(own.render(x, y, groups))
-                ends = np.cumsum(np.array(groups, int).reshape(-1, 2), axis=0) - 1
-                links.append(np.stack([np.array(x, "<u4")[ends[:, 0]], np.array(y, "<u4")[ends[:, 1]]], axis=1).tobytes())
-            return [*[pa.array([c[i] for c in counts], pa.int64()) for i in range(3)], pa.array(strings, pa.string()), pa.array(links, pa.binary())]
+            n_a, n_b, groups, links = zip(*own.align(texts), strict=True)
+            return [pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array([len(x) // 8 for x in links], pa.int64()), pa.array(groups, pa.string()), pa.array(links, pa.binary())]
 
         return work
 
-    return map_texts(docs, id_col, text_col, start, "n_a long, n_b long, n_groups long, groups string, links binary")
+    return map_texts(docs, id_col, text_col, start, "n_a long, n_b long, n_groups long, groups string, links binary", most=1_000_000)
 
 
 def _pairs(links: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -84,8 +85,21 @@ def test_query(spark):
 
 
 def test_labels_are_per_byte():
-    own = aligner(A, B)
-    (a, b) = own.encode(["naïve don't"])[0]
-    labels = own.labels(__import__("numpy").array(a), __import__("numpy").array(b))
-    assert len(labels) == len(" naïve don't".encode()) and labels.endswith(b"*")
+    own, text = aligner(A, B), "naïve don't"
+    a, b = own.a.encode(f" {text}", plain=True), own.b.encode([text])[0]
+    labels = own.labels(np.array(a), np.array(b))
+    assert len(labels) == len(f" {text}".encode()) and labels.endswith(b"*")
     assert labels.count(b"A") + labels.count(b"*") == len(a) and labels.count(b"B") + labels.count(b"*") == len(b)
+
+
+def test_parts_and_whole_texts_agree(monkeypatch):
+    """With parts remembered or not, and with a model that is not cut at spaces."""
+    rng, own = random.Random(9), aligner(A, B)
+    texts = ["".join(rng.choices(["ab", "the", " ", " ", "  ", "\n", "é", "▁", "\x1f", "\x85", "\u3000", "'s", "q" * 70], k=rng.randint(1, 30))) for _ in range(400)]
+    want = [own._whole(t) or (0, 0, "", b"") for t in texts]
+    monkeypatch.setattr("sunloom.llm.alignment.CACHE", 50)
+    for cuts in (True, False):
+        own.cache.clear()
+        monkeypatch.setattr(own.b, "cuts", cuts)
+        assert own.align(texts) == own.align(texts) == want and len(own.cache) <= 50
+    own.cache.clear()
