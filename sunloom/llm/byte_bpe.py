@@ -7,14 +7,21 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
-from .bpe import _byte_chars
+from .bpe import _SPACE, _byte_chars
 
 #: The pattern of a word that the library's ByteLevel cut has. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Longest runs of white space and of other characters that tiktoken's backtracking gets; longer ones go to the library.
-BLANKS, WORD = 2_000, 50_000
+BLANKS = WORD = 50_000
+_TWO, _CUT = re.compile(f"[{_SPACE}]{{2}}"), re.compile(f"(?<=[^{_SPACE}]) (?=[^{_SPACE}])")
+
+
+def parts(text: str) -> list[str]:
+    """The text cut at single spaces, with no white space on either side, where the pattern always begins a new word."""
+    return _CUT.split(text) if _TWO.search(f" {text} ") else text.split(" ")
 
 
 class ByteBpe:
@@ -37,6 +44,7 @@ class ByteBpe:
         self.path, self._lib = path, {}
         self.tik = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.size = 1 + max([*ranks.values(), *self.special.values()])
+        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
         self.bytes = [b""] * self.size
         for t, i in [*ranks.items(), *((t.encode(), i) for t, i in self.special.items())]:
             self.bytes[i] = t
@@ -55,7 +63,7 @@ class ByteBpe:
 
     def encode(self, text: str, plain: bool = False) -> list[int]:
         """The ids of a text. plain: strings of special tokens are ordinary text; else they are their tokens."""
-        if len(text) >= BLANKS and (self.blanks.search(text) or len(text) >= WORD and max(map(len, text.split()), default=0) >= WORD):
+        if len(text) >= WORD and (self.blanks.search(text) or max(map(len, text.split()), default=0) >= WORD):
             return self._library(text, plain)
         if plain or self.marks is None or not any(t in text for t in self.special):
             return self.tik.encode_ordinary(text)
@@ -64,6 +72,10 @@ class ByteBpe:
             out += [self.special[part]] if part in self.special else self.tik.encode_ordinary(part)
         return out
 
+    def packed(self, text: str) -> bytes:
+        """The ids of a text, special tokens included, as little-endian integers of self.kind."""
+        return array("H" if self.kind == "<u2" else "I", self.encode(text)).tobytes()
+
 
 @lru_cache(maxsize=2)
 def byte_bpe(path: str) -> ByteBpe:

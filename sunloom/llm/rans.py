@@ -17,7 +17,7 @@ MAGIC = b"RANS"
 HEAD = struct.Struct("<4sIHBxIIII")
 #: Bits of a frequency table: the frequencies add up to 2 ** BITS.
 BITS = 20
-LANES, EVERY = 256, 128
+LANES, EVERY = 512, 128
 LOW = np.uint64(1 << 31)
 _HALF, _WORD = np.uint64(32), np.uint64(0xFFFFFFFF)
 
@@ -44,9 +44,11 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
 
 
 class Coder:
-    """Encodes and decodes blocks with one frequency table."""
+    """Encodes and decodes blocks with one frequency table; ids are below 2 ** BITS."""
 
     def __init__(self, freq: np.ndarray):
+        if len(freq) > 1 << BITS:
+            raise ValueError(f"ids must be below {1 << BITS}")
         self.freq = np.ascontiguousarray(freq, "<u4")
         if len(self.freq) and int(self.freq.sum()) not in (0, 1 << BITS):
             raise ValueError("the frequencies don't add up to the table's size")
@@ -62,20 +64,18 @@ class Coder:
         if n and (ids.min() < 0 or ids.max() >= len(self.f) or not self.f[ids].all()):
             raise ValueError("an id is not in the frequency table")
         f, c = self.f[ids], self.c[ids]
-        most = f << np.uint64(63 - BITS)
+        most, gap = f << np.uint64(63 - BITS), np.uint64(1 << BITS) - f
         x, words, marks, given = np.full(lanes, LOW, np.uint64), [], [], 0
-        bits = np.uint64(BITS)
         for t in range(steps - 1, -1, -1):
             lo, hi = t * lanes, min(n, (t + 1) * lanes)
             own = x[: hi - lo]
-            big = own >= most[lo:hi]
-            if big.any():
+            big = np.flatnonzero(own >= most[lo:hi])
+            if len(big):
                 out = own[big]
                 words.append((out & _WORD).astype("<u4"))
                 given += len(out)
                 own[big] = out >> _HALF
-            q, r = np.divmod(own, f[lo:hi])
-            own[:] = (q << bits) + r + c[lo:hi]
+            own += own // f[lo:hi] * gap[lo:hi] + c[lo:hi]  # (x // f << BITS) + x % f + c
             if t % every == 0:
                 marks.append((given, x.astype("<u8").tobytes(), zlib.crc32(np.ascontiguousarray(ids[lo : min(n, lo + every * lanes)], "<u4"))))
         head = HEAD.pack(MAGIC, n, lanes, BITS, every, len(marks), given, self.sum)
@@ -96,29 +96,31 @@ class Coder:
         if lo >= hi:
             return np.zeros(0, np.uint32)
         if self._slots is None:
-            symbols = np.repeat(np.arange(len(self.f), dtype=np.uint32), self.freq)
-            self._slots = symbols, self.f[symbols], np.arange(1 << BITS, dtype=np.uint64) - self.c[symbols]
-        symbols, freq, bias = self._slots
+            # Frequency, place within the symbol, and symbol of each slot, in one integer.
+            symbols = np.repeat(np.arange(len(self.f), dtype=np.uint64), self.freq)
+            place = np.arange(1 << BITS, dtype=np.uint64) - self.c[symbols]
+            self._slots = (self.f[symbols] << np.uint64(2 * BITS)) | (place << np.uint64(BITS)) | symbols
         each, size = every * lanes, 8 + 8 * lanes
         words = np.frombuffer(block, "<u4", given, HEAD.size + marks * size).astype(np.uint64)
         out = []
-        mask, shift = np.uint64((1 << BITS) - 1), np.uint64(BITS)
+        mask, shift, twice = np.uint64((1 << BITS) - 1), np.uint64(BITS), np.uint64(2 * BITS)
         for k in range(lo // each, -(-hi // each)):
             at, crc = struct.unpack_from("<II", block, HEAD.size + k * size)
             x = np.frombuffer(block, "<u8", lanes, HEAD.size + k * size + 8).astype(np.uint64)
             first, last = k * each, min(n, (k + 1) * each)
-            slots = np.empty(last - first, np.uint32)
+            found = np.empty(last - first, np.uint64)
             for t in range(first, last, lanes):
                 own = x[: min(lanes, n - t)]
-                slot = own & mask
-                slots[t - first : t - first + len(own)] = slot
-                own[:] = freq[slot] * (own >> shift) + bias[slot]
-                small = own < LOW
-                k_words = int(np.count_nonzero(small))
-                if k_words:
-                    own[small] = (own[small] << _HALF) | words[at : at + k_words]
-                    at += k_words
-            ids = symbols[slots]
+                slot = self._slots[own & mask]
+                found[t - first : t - first + len(own)] = slot
+                own >>= shift
+                own *= slot >> twice
+                own += (slot >> shift) & mask
+                small = np.flatnonzero(own < LOW)
+                if len(small):
+                    own[small] = (own[small] << _HALF) | words[at : at + len(small)]
+                    at += len(small)
+            ids = (found & mask).astype(np.uint32)
             if zlib.crc32(np.ascontiguousarray(ids, "<u4")) != crc:
                 raise ValueError("the ids between two checkpoints differ from their checksum")
             out.append(ids[max(lo - first, 0) : hi - first])

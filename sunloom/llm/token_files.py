@@ -48,11 +48,11 @@ def encode_docs(docs: DataFrame, path: str, end: int | None, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, row = byte_bpe(path), TaskContext.get().partitionId(), 0
-        kind, tail = width(bpe.size), [] if end is None else [end]
+        tail = b"" if end is None else np.array(end, bpe.kind).tobytes()
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
                 own = batch.slice(lo, hi - lo)
-                ids = [np.array(bpe.encode(t) + tail, kind).tobytes() for t in own.column(1).to_pylist()]
+                ids = [bpe.packed(t) + tail for t in own.column(1).to_pylist()]
                 at = np.arange(row, row + len(ids))
                 row += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, "i4")), pa.array(at), own.column(0), pa.array(ids, pa.binary())], names=["part", "row", "doc_id", "ids"])
@@ -63,10 +63,6 @@ def encode_docs(docs: DataFrame, path: str, end: int | None, id_col: str = "doc_
     return rows.select("doc_id", "text").mapInArrow(run, f"part int, row long, doc_id {docs.schema[id_col].dataType.simpleString()}, ids binary")
 
 
-def width(size: int) -> str:
-    return "<u2" if size <= 1 << 16 else "<u4"
-
-
 def count_ids(tokens: DataFrame, kind: str) -> np.ndarray:
     """How often each id occurs: a row an id comes to the driver, at most 2 ** BITS."""
 
@@ -168,7 +164,7 @@ def tokens_to_files(docs: DataFrame, tokenizer: str, path: str, end: int | None
     spark, kept = docs.sparkSession, f"{path}/tokens"
     encode_docs(docs, tokenizer, end, id_col, text_col).write.option("compression", "zstd").parquet(kept)
     _tidy(spark)
-    write_ids(spark.read.parquet(kept), path, width(byte_bpe(tokenizer).size))
+    write_ids(spark.read.parquet(kept), path, byte_bpe(tokenizer).kind)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(kept)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
