@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import keep, map_texts, shared, table
+from .base import keep, map_texts, shared, slices, table
 from .byte_bpe import byte_bpe, parts
 
 #: Labels of a byte: no end, A's, B's, both.
@@ -193,14 +193,15 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(keys >> 32), pa.array(keys & 0xFFFFFFFF), pa.array(counts)], names=["a", "b", "n"])
 
         for batch in batches:
-            held.append(_pairs(batch.column(0))[0])
-            size += len(held[-1])
-            if size >= HELD:
-                keys, counts = fold()
-                held, size = [], 0
-                if len(keys) >= HELD:
-                    yield out()
-                    keys, counts = keys[:0], counts[:0]
+            for lo, hi in slices(batch.column(0)):
+                held.append(_pairs(batch.column(0).slice(lo, hi - lo))[0])
+                size += len(held[-1])
+                if size >= HELD:
+                    keys, counts = fold()
+                    held, size = [], 0
+                    if len(keys) >= HELD:
+                        yield out()
+                        keys, counts = keys[:0], counts[:0]
         if held:
             keys, counts = fold()
         if len(keys):
@@ -227,12 +228,13 @@ def link_measures(aligned: DataFrame, counts: DataFrame, most: int = PAIRS) -> D
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, n, best = known.value
-            for batch in batches:
-                pairs, sizes = _pairs(batch.column(batch.num_columns - 1))
-                at = np.searchsorted(keys, pairs)
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                sums = [np.concatenate([[0], np.cumsum(x[at])]) for x in (best.astype(np.int64), n)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes.astype(np.int64)), *[pa.array(s[ends[1:]] - s[ends[:-1]]) for s in sums]], names=[*rest, "n_links", "n_best", "count_sum"])
+            for whole in batches:
+                for lo, hi in slices(whole.column(whole.num_columns - 1)):
+                    batch = whole.slice(lo, hi - lo)
+                    pairs, sizes = _pairs(batch.column(batch.num_columns - 1))
+                    at, ends = np.searchsorted(keys, pairs), np.concatenate([[0], np.cumsum(sizes)])
+                    sums = [np.concatenate([[0], np.cumsum(x[at], dtype=np.int64)]) for x in (best, n)]
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes.astype(np.int64)), *[pa.array(s[ends[1:]] - s[ends[:-1]]) for s in sums]], names=[*rest, "n_links", "n_best", "count_sum"])
 
         kinds = [f"`{c}` {aligned.schema[c].dataType.simpleString()}" for c in rest]
         return aligned.select(*rest, "links").mapInArrow(look, ", ".join([*kinds, "n_links long", "n_best long", "count_sum long"]))
