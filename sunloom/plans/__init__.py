@@ -1,5 +1,9 @@
 """Registered queries over the event series, and their SQL."""
 
-from .events import QUERIES, SQL, flagship
+from . import events, models
+from .events import flagship
+
+QUERIES = events.QUERIES | models.QUERIES
+SQL = events.SQL | models.SQL
 
 __all__ = ["QUERIES", "SQL", "flagship"]
