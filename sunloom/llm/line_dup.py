@@ -68,6 +68,25 @@ def _lines(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", "row", "at", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), "line")
 
 
+def _apart(told: DataFrame, lead: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of nodes of different components, by their rarest shingles; none that is alike is left out.
+
+    Sets with 100 * intersection >= percent * union share more than what is left out of a set after its
+    n - ceil(percent / 100 * n) + 1 rarest shingles, so they have one of those in common. Unlike lines of one bucket have
+    the bucket's common shingles, but not each other's rare ones, so they make no pairs.
+    """
+    nodes = told.groupBy("node").agg(F.first("label").alias("label"))  # a node has one component
+    rows = lead.join(nodes, "node").select("node", "label", "n", F.explode(_shingles(F.col("line"))).alias("s"))
+    rows = keep(rows)
+    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("often"))
+    ordered = rows.join(often, "s").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("often", "s"))).alias("s"))
+    rare = F.slice("s", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    rare = keep(ordered.select("node", "label", "n", F.explode(rare).alias("r")).select(F.col("r.s").alias("s"), "node", "label", "n"))
+    side = lambda x: rare.select("s", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n")])
+    both = side("a").join(side("b"), "s").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent))
+    return keep(both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
+
+
 def dropped_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, row, at) of the lines that are copies, or near copies, of an earlier one.
 
@@ -83,7 +102,7 @@ def dropped_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     keyed = sets.select("h1", "h2", "first", "copies", F.size("s").alias("n"), _keys(F.col("s"), F.size("s"), percent).alias("keys"))
     classes = keep(keyed.withColumn("node", F.monotonically_increasing_id()))  # kept, so the ids stay
     spans = math.ceil(math.log2(100 / percent)) + 1
-    shared = shared_buckets(classes.select("node", "n", "keys"), BANDS * spans, BANDS * spans // EACH)
+    shared = shared_buckets(classes.select("node", "n", "keys"), BANDS * spans, BANDS * spans // EACH, placed=False)
 
     ids = bounded(classes.join(bounded(shared.select("node").distinct()), "node").select("node", "n", "h1", "h2", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at")))
     same = [F.col(f"l.{c}") == F.col(f"i.{c}") for c in ("h1", "h2", "at")] + [F.col("l.doc_id").eqNullSafe(F.col("i.doc_id"))]
@@ -98,7 +117,7 @@ def dropped_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         return both.where(F.col("i") * 100 >= (F.col("t") - F.col("i")) * percent).select("a", "b")
 
     fits = lambda a, b: F.least(f"n{a}", f"n{b}") * 100 >= F.greatest(f"n{a}", f"n{b}") * percent
-    label = connect(shared, verify, fits)
+    label = connect(shared, verify, fits, lambda told: verify(_apart(told, lead, percent)))
     linked = keep(classes.select("node", "first").join(label, "node"))
     best = linked.groupBy("component").agg(F.min("first").alias("best"))
     told = classes.select("node", "h1", "h2", "first", "copies").join(linked.select("node", "component").join(best, "component").drop("component"), "node", "left")
@@ -131,3 +150,30 @@ def dedup_lines(docs: DataFrame, percent: int = 80, counts: bool = True) -> Data
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+# The links are exact here: similar sets share one of their rarest shingles.
+OP8_SQL = """
+WITH RECURSIVE parts AS (
+  SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS raw, len(l) AS n_lines FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+lines AS (SELECT * FROM (SELECT doc_id, pos, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM parts) WHERE line <> ''),
+classes AS (SELECT line, min((doc_id, pos)) AS first, row_number() OVER (ORDER BY line) AS node FROM lines GROUP BY line),
+sets AS (SELECT DISTINCT node, substr(line, i, 5) AS s FROM classes, unnest(range(1, greatest(length(line) - 4, 1) + 1)) AS t(i)),
+sizes AS (SELECT node, count(*) AS n FROM sets GROUP BY node),
+often AS (SELECT s, count(*) AS k FROM sets GROUP BY s),
+rare AS (
+  SELECT node, s, n FROM (SELECT node, s, n, row_number() OVER (PARTITION BY node ORDER BY k, s) AS place FROM sets JOIN often USING (s) JOIN sizes USING (node))
+  WHERE place <= n - (80 * n + 99) // 100 + 1),
+pairs AS (SELECT DISTINCT a.node AS a, b.node AS b, a.n + b.n AS n FROM rare a JOIN rare b ON a.s = b.s AND a.node < b.node WHERE least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80),
+links AS (SELECT a, b FROM pairs JOIN sets x ON x.node = a JOIN sets y ON y.node = b AND x.s = y.s GROUP BY a, b, n HAVING count(*) * 100 >= (n - count(*)) * 80),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, c) AS (SELECT DISTINCT a, a FROM ways UNION SELECT w.b, r.c FROM reach r JOIN ways w ON r.node = w.a WHERE r.c < w.b),
+component AS (SELECT node, min(c) AS c FROM reach GROUP BY node),
+best AS (SELECT node, min(first) OVER (PARTITION BY coalesce(c, -node)) AS best FROM classes LEFT JOIN component USING (node)),
+gone AS (SELECT doc_id, pos FROM lines JOIN classes USING (line) JOIN best USING (node) WHERE (doc_id, pos) <> best),
+kept AS (
+  SELECT p.doc_id, count(g.pos) AS n_dropped, coalesce(string_agg(p.raw, chr(10) ORDER BY p.pos) FILTER (g.pos IS NULL), '') AS text
+  FROM parts p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.pos = g.pos GROUP BY p.doc_id)
+SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 1)::BIGINT AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(k.text, d.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""

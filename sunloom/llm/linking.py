@@ -38,16 +38,17 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def shared_buckets(sketches: DataFrame, bands: int, rounds: int) -> DataFrame:
+def shared_buckets(sketches: DataFrame, bands: int, rounds: int, placed: bool = True) -> DataFrame:
     """(key, node, n, low) of the buckets that hold several nodes; low is the smallest of them.
 
-    sketches: a kept frame (node, n, keys), keys with a bucket key, or null, for each of `bands` bands. A few bands are
-    looked up at a time, so that only their keys are shuffled, and on disk, at once.
+    sketches: a kept frame (node, n, keys), keys with a bucket key, or null, for each of `bands` bands. A part of the keys
+    is looked up at a time, so that only they are shuffled, and on disk, at once: a few bands if keys are placed, which
+    means that equal keys have the same place in each node's array, else those whose value falls into the round.
     """
-    each = -(-bands // rounds)
-    found = []
-    for lo in range(0, bands, each):
-        own = sketches.select(F.explode(F.slice("keys", lo + 1, each)).alias("key"), "node", "n").where("key IS NOT NULL")
+    each, found = -(-bands // rounds), []
+    for i, lo in enumerate(range(0, bands, each)):
+        turn = F.slice("keys", lo + 1, each) if placed else F.filter("keys", lambda k: F.pmod(k, F.lit(-(-bands // each))) == i)  # noqa: B023
+        own = sketches.select(F.explode(turn).alias("key"), "node", "n").where("key IS NOT NULL")
         ends = bounded(own.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low"))
         found.append(keep(own.join(ends, "key")))
         del own, ends

@@ -17,4 +17,4 @@ QUERIES = {
     "op12_token_files": token_files.op12_token_files,
     "op13_alignment": alignment.op13_alignment,
 }
-SQL = {"op2_chat": chat.OP2_SQL, "op4_suffixes": suffixes.OP4_SQL, "op6_neighbours": neighbours.OP6_SQL, "op10_licenses": licenses.OP10_SQL, "op7_near_duplicates": near_dup.OP7_SQL, "op9_decontamination": decontaminate.OP9_SQL, "op11_spelling": spelling.OP11_SQL}
+SQL = {"op2_chat": chat.OP2_SQL, "op8_lines": line_dup.OP8_SQL, "op4_suffixes": suffixes.OP4_SQL, "op6_neighbours": neighbours.OP6_SQL, "op10_licenses": licenses.OP10_SQL, "op7_near_duplicates": near_dup.OP7_SQL, "op9_decontamination": decontaminate.OP9_SQL, "op11_spelling": spelling.OP11_SQL}

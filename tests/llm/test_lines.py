@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sunloom.llm.line_dup import _shingles, dedup_lines, dropped_lines
+from sunloom.llm.line_dup import _apart, _shingles, dedup_lines, dropped_lines
 from sunloom.llm.linking import SHARE, connect
 
 
@@ -60,6 +60,35 @@ def test_lines_equal_brute_force(spark):
     assert dropped_lines(df.limit(0)).count() == 0
 
 
+def test_pairs_on_two_sides_of_a_power_of_two(spark):
+    """Lines of `low` and `high` shingles, the one the other's start, so their similarity is low / high."""
+    rng, rows = random.Random(1), []
+    for low, high in ((60, 68), (62, 66), (30, 34), (120, 136), (240, 270), (15, 18), (65, 73), (33, 38), (130, 150), (70, 76), (51, 64), (60, 80)):
+        for _ in range(20):
+            line = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=high + 4))
+            rows += [(len(rows), line), (len(rows) + 1, line[: low + 4])]
+            assert [len(shingles(t)) for _, t in rows[-2:]] == [high, low]
+    got = {(r["doc_id"], r["at"]) for r in dropped_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) == {(i, 0) for i, _ in rows if i % 2 and i < 400}
+
+
+def test_many_unlike_lines_of_one_bucket(spark):
+    """Lines that share most of their text, but too little to be alike, make few candidates; alike ones among them are found."""
+    rng = random.Random(5)
+    body = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60))
+    tail = lambda n: "".join(rng.choices("0123456789", k=n))
+    lines = [body + tail(20) for _ in range(300)]
+    lines += [lines[7][:-2] + "xy", lines[211][:-1] + "z"]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {(r["doc_id"], r["at"]) for r in dropped_lines(df).collect()} == brute(list(enumerate(lines)))
+    lead = df.select(F.col("doc_id").alias("node"), F.size(_shingles(F.col("text"))).alias("n"), F.col("text").alias("line"))
+    pairs = _apart(lead.select("node", F.col("node").alias("label")), lead, 80)
+    found = {(r["a"], r["b"]) for r in pairs.collect()}
+    sets = [shingles(x) for x in lines]
+    alike = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert (7, 300) in alike <= found and len(found) < len(lines) ** 2 / 20
+
+
 def test_repeated_ids_are_told_apart(spark):
     line = "this is quite a long line that stands in more than one of the documents here"
     rows = [(1, f"{line}\nown"), (1, f"{line}\nown"), (1, f"other words\n{line}"), (None, f"{line}."), (None, "alone in here")]
