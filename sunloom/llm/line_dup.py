@@ -23,6 +23,8 @@ LEAST, BLOCK = 256, 64
 #: Where the bands begin, and how many of them are looked up at a time.
 BOUNDS = [(2 * b - BANDS) * (2**63 // BANDS) for b in range(BANDS)]
 EACH = 5
+#: Nodes of a bucket up to which all pairs across its components are candidates.
+SMALL = 32
 
 
 def _let(value: Column, body) -> Column:
@@ -69,22 +71,28 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _apart(told: DataFrame, lead: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of nodes of different components, by their rarest shingles; none that is alike is left out.
+    """Candidate pairs (a, b) of nodes of different components, from rows (key, node, n, m, label) of buckets of m nodes.
 
-    Sets with 100 * intersection >= percent * union share more than what is left out of a set after its
-    n - ceil(percent / 100 * n) + 1 rarest shingles, so they have one of those in common. Unlike lines of one bucket have
-    the bucket's common shingles, but not each other's rare ones, so they make no pairs.
+    Buckets of up to SMALL nodes give their pairs. The nodes of larger ones meet by their rarest shingles instead, and no
+    pair that is alike is left out: sets with 100 * intersection >= percent * union share more than what is left out of a
+    set after its n - ceil(percent / 100 * n) + 1 rarest shingles, so they have one of those in common. Unlike lines of
+    one bucket have the bucket's common shingles, but not each other's rare ones, so they make no pairs.
     """
-    nodes = told.groupBy("node").agg(F.first("label").alias("label"))  # a node has one component
-    rows = lead.join(nodes, "node").select("node", "label", "n", F.explode(_shingles(F.col("line"))).alias("s"))
-    rows = keep(rows)
-    often = rows.groupBy("s").agg(F.count(F.lit(1)).alias("often"))
-    ordered = rows.join(often, "s").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("often", "s"))).alias("s"))
-    rare = F.slice("s", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    rare = keep(ordered.select("node", "label", "n", F.explode(rare).alias("r")).select(F.col("r.s").alias("s"), "node", "label", "n"))
-    side = lambda x: rare.select("s", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n")])
-    both = side("a").join(side("b"), "s").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent))
-    return keep(both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
+
+    def meet(rows: DataFrame, by: str) -> DataFrame:
+        side = lambda x: rows.select(by, *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n")])
+        both = side("a").join(side("b"), by).where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent))
+        return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+    nodes = keep(told.where(F.col("m") > SMALL).select("node", "label", "n").distinct())
+    found = meet(told.where(F.col("m") <= SMALL), "key")
+    if not nodes.isEmpty():
+        sets = lead.select("node", "line").join(nodes.select("node"), "node").select("node", F.explode(_shingles(F.col("line"))).alias("s"))
+        often = sets.groupBy("s").agg(F.count(F.lit(1)).alias("often"))
+        ordered = sets.join(often, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "s"))).alias("s")).join(nodes, "node")
+        rare = F.slice("s", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+        found = found.unionByName(meet(keep(ordered.select("node", "label", "n", F.explode(rare).alias("r")).select(F.col("r.s").alias("s"), "node", "label", "n")), "s"))
+    return keep(found.distinct())
 
 
 def dropped_lines(docs: DataFrame, percent: int = 80) -> DataFrame:

@@ -82,7 +82,7 @@ def test_many_unlike_lines_of_one_bucket(spark):
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     assert {(r["doc_id"], r["at"]) for r in dropped_lines(df).collect()} == brute(list(enumerate(lines)))
     lead = df.select(F.col("doc_id").alias("node"), F.size(_shingles(F.col("text"))).alias("n"), F.col("text").alias("line"))
-    pairs = _apart(lead.select("node", F.col("node").alias("label")), lead, 80)
+    pairs = _apart(lead.select(F.lit(1).alias("key"), "node", "n", F.lit(len(lines)).alias("m"), F.col("node").alias("label")), lead, 80)
     found = {(r["a"], r["b"]) for r in pairs.collect()}
     sets = [shingles(x) for x in lines]
     alike = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
