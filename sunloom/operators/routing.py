@@ -116,19 +116,75 @@ def davies_bouldin(points: DataFrame, z: Sequence[str], label: str = "label") ->
     return pairs.groupBy(f"{label}_a").agg(F.max(ratio).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
 
 
-def silhouette(points: DataFrame, key: str, z: Sequence[str], label: str = "label", most: int = 2_000) -> DataFrame:
-    """(silhouette): the mean of (b - a) / max(a, b) over points, by Euclidean distance; alone in a cluster counts 0.
+#: Points of a tile: a task holds two tiles, and the distances between TILE points and ROWS others, at once.
+TILE, ROWS = 4_096, 512
 
-    Every point is compared with at most `most` of them, by smallest hash of the key, as queries; with more points the
-    mean is over those queries, each of which still meets all points.
+
+def distance_sums(queries: DataFrame, points: DataFrame, key: str, z: Sequence[str], label: str = "label") -> DataFrame:
+    """(q, own, label, s, n): for each query, the sum of its distances to the points of each cluster, and their number.
+
+    Both sides are packed into tiles of about TILE rows, and each pair of tiles is one row, worked on as a block: what is
+    shuffled are tiles, and sums a query, tile and cluster. All pairs are looked at, which this measure asks for.
+    """
+    names = [f"z{i}" for i in range(len(z))]
+
+    def tiles(df: DataFrame, n: int, at: str) -> DataFrame:
+        row = F.struct(F.col(key).alias("k"), F.col(label).cast("long").alias("l"), *[F.col(c).cast("double").alias(m) for c, m in zip(z, names, strict=True)])
+        return df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias(at)).agg(F.collect_list(row).alias(f"r{at}"))
+
+    n_i, n_j = (max(1, -(-df.count() // TILE)) for df in (queries, points))
+    pairs = tiles(queries, n_i, "i").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_j - 1)).cast("array<long>"))).join(tiles(points, n_j, "j"), "j")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        side = lambda rows: (rows.field("k"), rows.field("l").to_numpy(), np.stack([rows.field(m).to_numpy(zero_copy_only=False) for m in names], 1))
+        for b in batches:
+            for i in range(len(b)):
+                (keys, own, q), (_, labels, p) = (side(b.column(c).slice(i, 1).flatten()) for c in (0, 1))
+                found, at = np.unique(labels, return_inverse=True)
+                one = np.eye(len(found))[at]
+                sums = np.concatenate([np.sqrt(((q[lo : lo + ROWS, None, :] - p[None]) ** 2).sum(2)) @ one for lo in range(0, len(q), ROWS)])
+                for k, cluster in enumerate(found):
+                    columns = [keys, pa.array(own), pa.array(np.full(len(q), cluster)), pa.array(sums[:, k]), pa.array(np.full(len(q), int(one[:, k].sum())))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["q", "own", "label", "s", "n"])
+
+    blocks = pairs.select("ri", "rj").mapInArrow(run, f"q {queries.schema[key].dataType.simpleString()}, own long, label long, s double, n long")
+    return blocks.groupBy("q", "own", "label").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
+def _widths(sums: DataFrame) -> DataFrame:
+    """(q, own, width): (b - a) / max(a, b) of each query; alone in a cluster counts 0."""
+    mine = F.col("own") == F.col("label")
+    each = sums.groupBy("q", "own").agg(F.max(F.when(mine & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"), F.min(F.when(~mine, F.col("s") / F.col("n"))).alias("b"))
+    return each.select("q", "own", F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)).alias("width"))
+
+
+def silhouette(points: DataFrame, key: str, z: Sequence[str], label: str = "label") -> DataFrame:
+    """(silhouette): the exact mean of (b - a) / max(a, b) over all points, by Euclidean distance; keys are distinct.
+
+    It takes the square of their number of distances; silhouette_estimate() takes a bounded number for each point.
+    """
+    points = points.persist()
+    return _widths(distance_sums(points, points, key, z, label)).agg(F.avg("width").alias("silhouette"))
+
+
+def silhouette_estimate(points: DataFrame, key: str, z: Sequence[str], label: str = "label", each: int = 500, seed: int = 0) -> DataFrame:
+    """(estimate, error): the mean width from about `each` points of every cluster, and its standard error.
+
+    A stratified sample, by hash: means of clusters are weighed by their sizes; each width is exact, against all points. A
+    cluster of up to `each` points is taken whole and adds no error, nor does a point alone in its cluster.
     """
-    n = F.broadcast(points.select(F.col(key).alias("q"), F.col(label).alias("own"), *[F.col(c).alias(f"q_{c}") for c in z]).orderBy(F.xxhash64("q"), "q").limit(most))
-    rows = points.select(F.col(key).alias("p"), label, *z).join(n, F.lit(True))
-    far = _distance([F.col(c) for c in z], [F.col(f"q_{c}") for c in z])
-    sums = rows.groupBy("q", "own", label).agg(F.sum(far).alias("s"), F.count(F.lit(1)).alias("n"))
-    mine = F.col("own") == F.col(label)
-    each = sums.groupBy("q").agg(F.max(F.when(mine & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"), F.min(F.when(~mine, F.col("s") / F.col("n"))).alias("b"))
-    return each.agg(F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"))
+    points = points.persist()
+    sizes = points.groupBy(label).agg(F.count(F.lit(1)).alias("size"))  # a row a cluster
+    drawn = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = points.join(F.broadcast(sizes), label).where(drawn * F.col("size") < each).select(*points.columns)
+    strata = _widths(distance_sums(sample, points, key, z, label)).groupBy("own").agg(F.avg("width").alias("m"), F.coalesce(F.var_samp("width"), F.lit(0.0)).alias("v"), F.count(F.lit(1)).alias("k"))
+    strata = strata.join(F.broadcast(sizes.select(F.col(label).cast("long").alias("own"), "size")), "own")
+    total = F.sum("size")
+    error = F.sqrt(F.sum(F.col("size") * F.col("size") * F.col("v") / F.col("k") * (1 - F.col("k") / F.col("size")))) / total
+    return strata.agg((F.sum(F.col("m") * F.col("size")) / total).alias("estimate"), error.alias("error"))
 
 
 def semantic_names(train: DataFrame, power: str = "power_mean", names: Sequence[str] = ("clear", "cloudy", "low_irradiance"), *more: str) -> DataFrame:
