@@ -49,8 +49,16 @@ def sorted_before(df: DataFrame) -> DataFrame:
 
 
 def daylight_by_day(df: DataFrame) -> DataFrame:
-    """day, rows and daylight rows; days without daylight count 0."""
-    return df.groupBy("day").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("is_daylight").cast("long")).alias("daylight_rows"))
+    """(series_id, if there is one), day, rows and daylight rows; days without daylight count 0."""
+    return df.groupBy(*[c for c in ("series_id", "day") if c in df.columns]).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("is_daylight").cast("long")).alias("daylight_rows"))
+
+
+def ramps_by_day(df: DataFrame, column: str = "power") -> DataFrame:
+    """(series_id, if there is one), day, and mean, 95th percentile and largest of the column's steps within the day."""
+    keys = [c for c in ("series_id", "day") if c in df.columns]
+    w = W.partitionBy(*keys).orderBy("ts", *[c for c in ("row_id",) if c in df.columns])
+    rows = df.withColumn("ramp", F.abs(F.col(column) - F.lag(column).over(w)))
+    return rows.groupBy(*keys).agg(F.avg("ramp").alias("mean_ramp"), F.expr("percentile(ramp, 0.95)").alias("p95_ramp"), F.max("ramp").alias("max_ramp"))
 
 
 def daylight_stats(df: DataFrame) -> DataFrame:

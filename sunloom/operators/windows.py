@@ -109,6 +109,12 @@ def finite(df: DataFrame, columns: tuple[str, ...] = STATE) -> DataFrame:
     return df.where(ok)
 
 
+def only_new(new: DataFrame, old: DataFrame) -> DataFrame:
+    """The windows of new whose anchor is not one of old's, each series for itself; repeated ones stay."""
+    keys = [c for c in ("series_id", "anchor_ts") if c in new.columns]
+    return new.join(old.select(*keys), keys, "left_anti")
+
+
 def resolve(columns: list[str], part: str, exact_case: bool = False) -> str | None:
     """The first column whose name holds `part`, in any case unless exact_case; None without one."""
     same = (lambda c: part in c) if exact_case else (lambda c: part.lower() in c.lower())

@@ -78,9 +78,8 @@ def power_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ramp_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ramp = F.abs(F.col("power") - F.lag("power").over(W.partitionBy("day").orderBy("ts")))
-    rows = series(spark, sf_dir).withColumn("ramp", ramp)
-    return rows.groupBy("day").agg(*[F.round(x, 6).alias(n) for n, x in {"mean_ramp": F.avg("ramp"), "p95_ramp": F.expr("percentile(ramp, 0.95)"), "max_ramp": F.max("ramp")}.items()])
+    rows = quality.ramps_by_day(series(spark, sf_dir))
+    return rows.select("day", *[F.round(c, 6).alias(c) for c in ("mean_ramp", "p95_ramp", "max_ramp")])
 
 
 def window_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,8 +261,8 @@ def fcm_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def center_distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(k, n, v) for k, c in enumerate(CENTRES) for n, v in zip(POINT, c, strict=True)]
-    return routing.centre_distances(spark.createDataFrame(rows, "k int, dim string, value double")).withColumn("distance", F.round("distance", 6))
+    """Distances between the centres that one step of the fit gives."""
+    return routing.centre_distances(fcm_center_update_one_step(spark, sf_dir)).withColumn("distance", F.round("distance", 6))
 
 
 def davies_bouldin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,7 +296,7 @@ def drop_vs_mask_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def windows_only_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors that are cut when only they need daylight, but not when all their rows do."""
     ok = cut(spark, sf_dir, threshold=LOOSE).where("status = 'ok'")
-    return ok.select("anchor_ts", "split").join(ok.where("all_daylight").select("anchor_ts"), "anchor_ts", "left_anti")
+    return windows.only_new(ok, ok.where("all_daylight")).select("anchor_ts", "split")
 
 
 def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -431,7 +430,7 @@ SQL |= {
     "named_samples": f"WITH {_U} SELECT split, coalesce(name, 'unknown') AS name, count(*) AS n FROM lab LEFT JOIN {_NAMED.format('AND label > 0')} USING (label) GROUP BY 1, 2",
     "cluster_sizes_pivot": f"WITH {_U} SELECT split, " + ", ".join(f"count(*) FILTER (label = {k}) AS n{k}" for k in range(3)) + " FROM lab GROUP BY split",
     "fcm_objective": f"WITH {_U} SELECT round(sum(u0 * u0 * d0 + u1 * u1 * d1 + u2 * u2 * d2), 6) AS jm FROM lab WHERE split = 'train'",
-    "center_distance_matrix": "WITH c(k, a, b) AS (VALUES " + ", ".join(f"({k}::INT, {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in enumerate(CENTRES)) + ") SELECT x.k AS k1, y.k AS k2, round(sqrt(power(x.a - y.a, 2) + power(x.b - y.b, 2)), 6) AS distance FROM c x, c y",
+    "center_distance_matrix": f"WITH c AS ({SQL['fcm_center_update_one_step']}) SELECT x.k AS k1, y.k AS k2, round(sqrt(sum(power(x.value - y.value, 2))), 6) AS distance FROM c x JOIN c y ON x.dim = y.dim GROUP BY 1, 2",
     "davies_bouldin": f"""WITH {_U}, mid AS (SELECT label, avg(tsi_mean) AS a, avg(power_mean) AS b FROM lab GROUP BY label),
         wide AS (SELECT label, a, b, avg(sqrt(power(tsi_mean - a, 2) + power(power_mean - b, 2))) AS s FROM lab JOIN mid USING (label) GROUP BY ALL)
         SELECT round(avg(r), 6) AS davies_bouldin FROM (SELECT x.label, max((x.s + y.s) / sqrt(power(x.a - y.a, 2) + power(x.b - y.b, 2))) AS r FROM wide x JOIN wide y ON x.label <> y.label GROUP BY 1)""",

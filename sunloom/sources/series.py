@@ -35,8 +35,9 @@ def from_events(events: DataFrame, step: str = STEP, series: str | None = None)
 
 
 def dense(series: DataFrame, step: str = STEP) -> DataFrame:
-    """The series on a full grid of whole days, empty steps filled with zero."""
-    ends = series.agg(F.min("day").alias("a"), F.max("day").alias("b"))
-    grid = ends.select(F.explode(F.expr(f"sequence(CAST(a AS TIMESTAMP_NTZ), CAST(date_add(b, 1) AS TIMESTAMP_NTZ) - INTERVAL {step}, INTERVAL {step})")).alias("ts"))
-    names = [c for c in series.columns if c not in ("ts", "day")]
-    return grid.join(series.drop("day"), "ts", "left").select("ts", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names], F.to_date("ts").alias("day"))
+    """The series on a full grid of whole days, empty steps filled with zero; each series_id, if there is one, on its own."""
+    keys = [c for c in ("series_id",) if c in series.columns]
+    ends = series.groupBy(*keys).agg(F.min("day").alias("a"), F.max("day").alias("b")).where("a IS NOT NULL")
+    grid = ends.select(*keys, F.explode(F.expr(f"sequence(CAST(a AS TIMESTAMP_NTZ), CAST(date_add(b, 1) AS TIMESTAMP_NTZ) - INTERVAL {step}, INTERVAL {step})")).alias("ts"))
+    names = [c for c in series.columns if c not in ("ts", "day", *keys)]
+    return grid.join(series.drop("day"), [*keys, "ts"], "left").select(*keys, "ts", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names], F.to_date("ts").alias("day"))
