@@ -164,7 +164,12 @@ def windows_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = vectors(spark, sf_dir).select("anchor_ts", "split", "x", "y", "tsi_mean", "tsi_std", "power_mean")
+    return labelled(vectors(spark, sf_dir))
+
+
+def labelled(g: DataFrame) -> DataFrame:
+    """Windows with memberships and label by the fixed centres."""
+    g = g.select("anchor_ts", "split", "x", "y", "tsi_mean", "tsi_std", "power_mean")
     g = g.withColumn("d", routing.distances([F.col(c) for c in POINT], CENTRES)).withColumn("u", routing.memberships(F.col("d")))
     return g.withColumn("label", routing.hard_label(F.col("u")))
 
@@ -208,11 +213,14 @@ def best_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.best(alpha_sweep(spark, sf_dir).where("horizon = '4h'").select("nrmse", "alpha"), "nrmse", "alpha")
 
 
-def _report(spark: SparkSession, sf_dir: str, hard: bool) -> DataFrame:
-    own = F.col("u")[F.col("label")]
-    rows = routed(spark, sf_dir).withColumn("own", own)
+def hard_steps(rows: DataFrame, hard: bool = True) -> DataFrame:
+    """Long rows of labelled windows: what each one's expert forecasts, or the mixture."""
     value = F.get(F.array(*_experts()), F.col("label")) if hard else routing.mix(F.col("u"), _experts())
-    return metrics.sample_report(_flat(rows, value, "label", "own"), CAPACITY)
+    return _flat(rows.withColumn("own", F.col("u")[F.col("label")]), value, "label", "own")
+
+
+def _report(spark: SparkSession, sf_dir: str, hard: bool) -> DataFrame:
+    return metrics.sample_report(hard_steps(routed(spark, sf_dir), hard), CAPACITY)
 
 
 def cluster_report_hard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,14 +23,27 @@ def run_name(experiment: str, model: str, when: datetime, daylight: dict | None
     return "_".join([*parts, when.strftime("%Y%m%d_%H%M%S")])
 
 
-def write_results(metrics: DataFrame, folder: str, name: str) -> dict[str, str]:
-    """Point metrics as rows of a report in CSV, with all digits in JSON; gives the two paths."""
+def write_results(metrics: DataFrame, folder: str, name: str, document: DataFrame | None = None) -> dict[str, str]:
+    """Point metrics as rows of a report in CSV, and in JSON: as rows, or as the document of the run; gives the two paths."""
     paths = {kind: f"{folder}/{name}.{kind}" for kind in ("csv", "json")}
     named_rows(metrics).coalesce(1).write.mode("overwrite").csv(paths["csv"], header=True)
-    metrics.coalesce(1).write.mode("overwrite").json(paths["json"])
+    if document is None:
+        metrics.coalesce(1).write.mode("overwrite").json(paths["json"])
+    else:
+        write_document(document, paths["json"])
     return paths
 
 
+def write_document(document: DataFrame, path: str) -> None:
+    """A document (value), as the reports give them, as a file of text."""
+    document.coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_experts(rows: DataFrame, path: str) -> None:
+    """The table of experts as reports.expert_rows() gives it, in its order."""
+    rows.coalesce(1).write.mode("overwrite").csv(path, header=True, emptyValue="")
+
+
 def report_json(report: DataFrame) -> DataFrame:
     """(value): one JSON document a scope, with its clusters and horizons in order."""
     rows = F.array_sort(F.collect_list(F.struct("label", "horizon", "mae", "rmse", "nrmse", "n", "mean_membership", "share")))
