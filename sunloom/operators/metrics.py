@@ -55,6 +55,16 @@ def deltas(hard: DataFrame, soft: DataFrame) -> DataFrame:
     return both.select("h.scope", "h.label", "h.horizon", F.col("h.nrmse").alias("hard"), F.col("s.nrmse").alias("soft"), F.round(F.col("h.nrmse") - F.col("s.nrmse"), 6).alias("delta"))
 
 
+def routing_deltas(long: DataFrame, capacity: float) -> DataFrame:
+    """deltas() of the routings hard and soft, from long rows that tell their routing: one aggregation for both."""
+    e = F.pow(F.col("yhat") - F.col("y"), F.lit(2.0))
+    of = lambda r: F.round(F.sqrt(F.avg(F.when(F.col("routing") == r, e))) / capacity, 6).alias(r)
+    rows = long.join(_horizons(long), F.col("step") <= F.col("steps"))
+    out = rows.groupingSets([["label", "horizon"], ["horizon"]], "label", "horizon").agg(of("hard"), of("soft"), F.grouping("label").alias("g")).where("hard IS NOT NULL AND soft IS NOT NULL")
+    scope = F.when(F.col("g") == 1, "overall").otherwise("cluster")
+    return out.select(scope.alias("scope"), "label", "horizon", "hard", "soft", F.round(F.col("hard") - F.col("soft"), 6).alias("delta"))
+
+
 def best(rows: DataFrame, score: str, *by: str) -> DataFrame:
     """The row of smallest score; of equal ones the one that comes first by the columns `by`."""
     names = [c for c in rows.columns if c not in (score, *by)]

@@ -117,7 +117,7 @@ def ramps(df: DataFrame, column: str = "power", above: float | None = None) -> D
     order = F.struct("ts", *[c for c in ("row_id",) if c in df.columns])
     days = df.groupBy(*own, "day").agg(F.min_by(column, order).alias("a"), F.max_by(column, order).alias("b"))
     days = days.withColumn("step", F.col("a") - F.lag("b").over(W.partitionBy(*own).orderBy("day")))  # a row for each day only
-    both = rows.select(F.abs("step").alias("ramp")).unionByName(days.select(F.abs("step").alias("ramp"))).where("ramp IS NOT NULL")
+    both = rows.select(F.abs("step").alias("ramp")).unionByName(days.select(F.abs("step").alias("ramp"))).where("ramp IS NOT NULL").persist()  # numbers only, read four times
     p95 = quantiles(both, "ramp", (0.95,)).select(F.round("value", 6).alias("p95_ramp"))
     total = both.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ramp"), 6).alias("mean_ramp"), F.round(F.max("ramp"), 6).alias("max_ramp"))
     return total.join(F.broadcast(p95), F.lit(True), "left")  # one row each

@@ -24,6 +24,20 @@ def moments(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), *[F.col(f"{p}_{c}").cast("double").alias(n) for (p, _), n in zip(parts, ("mean", "std", "low", "high"), strict=True)]) for c in names])))
 
 
+def weighted_moments(rows: DataFrame, names: Sequence[str], weight: str) -> DataFrame:
+    """As moments(), each row counted `weight` times; a missing value counts for nothing in its column.
+
+    Two passes over the kept rows, the second about the means of the first, so a column without deviation has exactly none
+    but for the last bits of its mean.
+    """
+    rows = rows.select(*[F.col(c).cast("double").alias(c) for c in names], F.col(weight).cast("double").alias("w")).persist()
+    w = lambda c: F.when(F.col(c).isNotNull(), F.col("w"))
+    means = rows.agg(*[F.try_divide(F.sum(w(c) * F.col(c)), F.sum(w(c))).alias(f"m_{c}") for c in names])  # one row
+    about = rows.join(F.broadcast(means), F.lit(True))
+    parts = [F.struct(F.lit(c).alias("feature"), F.max(f"m_{c}").alias("mean"), F.sqrt(F.try_divide(F.sum(w(c) * F.pow(F.col(c) - F.col(f"m_{c}"), F.lit(2.0))), F.sum(w(c)))).alias("std"), F.min(c).alias("low"), F.max(c).alias("high")) for c in names]
+    return about.agg(F.array(*parts).alias("all")).select(F.inline("all"))
+
+
 @dataclass(frozen=True)
 class Scaler:
     """Means and deviations of columns, by name."""

@@ -70,6 +70,24 @@ def candidates(df: DataFrame, lx: int = LX, h: int = H, minutes: int = MINUTES,
     return df.select(F.col("ts").alias("anchor_ts"), (F.col("rn") - 1).alias("anchor_idx"), "day", *keep, "is_daylight", "all_daylight", "x", F.col("y.power").alias("y"), status.alias("status"), *stats)
 
 
+def uses(df: DataFrame, split: str = "train", lx: int = LX, h: int = H, minutes: int = MINUTES) -> DataFrame:
+    """The rows that inputs of accepted windows of a split hold: series_id and row_id if there are any, ts, FEATURES, uses.
+
+    uses is the number of windows of status ok that candidates() would give with the row among their inputs. No window is
+    built: anchors are flagged, and counted over the lx rows after a row, with the same one shuffle and sort.
+    """
+    w = by_day(df)
+    keys = [c for c in ("series_id", "day") if c in df.columns]
+    gap = F.coalesce((F.col("ts") - F.lag("ts").over(w) != F.expr(f"INTERVAL {minutes} MINUTES")).cast("int"), F.lit(0))
+    rows = df.withColumn("rn", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(W.partitionBy(*keys))).withColumn("brk", gap)
+    rows = rows.withColumn("cb", F.sum("brk").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    whole = F.coalesce(F.lead("cb", h - 1).over(w) == F.lag("cb", lx).over(w), F.lit(False))
+    ok = whole & F.col("is_daylight") & (F.col("split") == split) & (F.col("rn") > lx) & (F.col("rn") <= F.col("n") - h + 1)
+    rows = rows.withColumn("ok", ok.cast("long")).withColumn("uses", F.coalesce(F.sum("ok").over(w.rowsBetween(1, lx)), F.lit(0)))
+    keep = [c for c in ("series_id", "row_id") if c in df.columns]
+    return rows.where("uses > 0").select(*keep, "ts", *FEATURES, "uses")
+
+
 def _statistics(w, lx: int, capacity: float) -> dict[str, Column]:
     """The state vector's statistics of the lx rows before a row (population deviations), and of their differences."""
     rows, steps = w.rowsBetween(-lx, -1), w.rowsBetween(-(lx - 1), -1)

@@ -138,17 +138,19 @@ def scaler_g_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), (F.col("std") > scaling.LEAST).alias("kept"))
 
 
-def _train_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(spark, sf_dir).where("status = 'ok' AND split = 'train'").select(F.inline("x"))
+def _train_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The moments of the rows that training windows hold, as often as they hold them."""
+    rows = windows.uses(windows.split_by_day(flagged(spark, sf_dir), days=days(spark, sf_dir)))
+    return scaling.weighted_moments(rows, windows.FEATURES, "uses")
 
 
 def scaler_x_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = scaling.moments(_train_rows(spark, sf_dir), windows.FEATURES)
+    long = _train_moments(spark, sf_dir)
     return long.select("feature", F.round("mean", 6).alias("mean"), F.round(F.when(F.col("std") < scaling.LEAST, 1.0).otherwise(F.col("std")), 6).alias("std"))
 
 
 def feature_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scaling.moments(_train_rows(spark, sf_dir), windows.FEATURES).select("feature", *[F.round(c, 6).alias(c) for c in ("low", "high", "mean", "std")])
+    return _train_moments(spark, sf_dir).select("feature", *[F.round(c, 6).alias(c) for c in ("low", "high", "mean", "std")])
 
 
 def state_vectors_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +238,11 @@ def cluster_report_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def soft_vs_hard_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.deltas(_report(spark, sf_dir, True), _report(spark, sf_dir, False))
+    """Both forecasts stand on the window's row, so the windows are cut once and each row is scored under its routing."""
+    hard, soft = F.get(F.array(*_experts()), F.col("label")), routing.mix(F.col("u"), _experts())
+    rows = routed(spark, sf_dir).select("y", "label", F.col("u")[F.col("label")].alias("own"), F.explode(F.array(F.struct(F.lit("hard").alias("routing"), hard.alias("f")), F.struct(F.lit("soft").alias("routing"), soft.alias("f")))).alias("r"))
+    long = _flat(rows.select("y", "label", "own", "r.routing", "r.f"), F.col("f"), "routing", "label", "own")
+    return metrics.routing_deltas(long, CAPACITY)
 
 
 def expert_union_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,11 +296,24 @@ def daylight_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ramp_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.ramps(series(spark, sf_dir))
+    return quality.ramps(series(spark, sf_dir).select("ts", "day", "power"))
 
 
 def ramp_stats_above(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.ramps(series(spark, sf_dir), above=150.0)
+    return quality.ramps(series(spark, sf_dir).select("ts", "day", "power"), above=150.0)
+
+
+def sorted_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the events' times never fall in the order of their file, tested in blocks of 65,536 rows and between them."""
+    at = F.col("_metadata.row_index")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", F.shiftleft(F.shiftright(at, 16), 33).bitwiseOR(at.bitwiseAND(F.lit(65_535))).alias("row_id"))
+    return quality.sorted_before(rows)
+
+
+def numeric_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extremes and means of every numeric column of the events."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return scaling.moments(events, windows.numeric(events)).select("feature", *[F.round(c, 6).alias(c) for c in ("low", "high", "mean")])
 
 
 def drop_vs_mask_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -449,6 +468,8 @@ SQL |= {
     "daylight_days": f"WITH {_S} SELECT day, count(*) AS n_rows, count(*) FILTER (is_daylight) AS daylight_rows FROM f GROUP BY day",
     "ramp_stats": f"WITH {_S}, o AS (SELECT abs(power - lag(power) OVER (ORDER BY ts)) AS k FROM f) {_RAMP}",
     "ramp_stats_above": f"WITH {_S}, o AS (SELECT abs(power - lag(power) OVER (ORDER BY ts)) AS k FROM f WHERE power > 150) {_RAMP}",
+    "sorted_flag": "SELECT coalesce(bool_and(ts >= b), true) AS is_sorted FROM (SELECT ts, lag(ts) OVER () AS b FROM events)",
+    "numeric_ranges": " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high, round(avg({c}), 6) AS mean FROM events" for c in ("event_id", "user_id", "value")),
     "drop_vs_mask_counts": f"SELECT 'drop' AS mode, split, count(*) AS n FROM (WITH {_DROP} SELECT split, status FROM a) WHERE status = 'ok' GROUP BY split UNION ALL SELECT 'mask', split, count(*) FROM (WITH {_LOOSE} SELECT split, status FROM a) WHERE status = 'ok' GROUP BY split",
     "windows_only_new": f"WITH {_LOOSE}, o AS (SELECT * FROM a WHERE status = 'ok') SELECT anchor_ts, split FROM o WHERE anchor_ts NOT IN (SELECT anchor_ts FROM o WHERE all_daylight)",
     "result_rows": f"""SELECT CASE WHEN horizon = 'overall' THEN 'Overall' ELSE horizon END AS "Horizon", CASE horizon WHEN '1h' THEN '4' WHEN '2h' THEN '8' WHEN '4h' THEN '16' ELSE '-' END AS "Steps",

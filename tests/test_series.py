@@ -178,3 +178,17 @@ def test_results_are_written(spark, tmp_path):
     assert [(r["scope"], r["label"]) for r in wide] == [("cluster", "0"), ("cluster", "1"), ("overall", "-")] and len(wide[0]["4h"].split(".")[1]) == 4
     same = metrics.deltas(metrics.sample_report(long, 50.0), metrics.sample_report(long, 50.0)).collect()
     assert len(same) == 9 and all(r["delta"] == 0 for r in same)
+
+
+def test_uses_count_as_windows_do(spark):
+    rows = [("a", i, datetime.datetime(2024, 3, 1 + i // 80) + datetime.timedelta(minutes=15 * (i % 80 + (i % 80 > 50) + 3)), float(i % 7), 7.3, None if i == 20 else 0.5 * i) for i in range(240)]
+    df = spark.createDataFrame(rows, "series_id string, row_id long, ts timestamp_ntz, tsi double, dni double, power double")
+    df = windows.flag_daylight(df.select("*", F.lit(1.0).alias("ghi"), F.lit(2.0).alias("temp"), F.lit(3.0).alias("atm"), F.to_date("ts").alias("day")), 2.0)
+    df = windows.split_by_day(df)
+    own = windows.candidates(df).where("status = 'ok' AND split = 'train'").select(F.inline("x"))
+    assert own.count() == windows.uses(df).agg(F.sum("uses")).first()[0] > 0
+    want = {r["feature"]: r for r in scaling.moments(own, windows.FEATURES).collect()}
+    for r in scaling.weighted_moments(windows.uses(df), windows.FEATURES, "uses").collect():
+        w = want[r["feature"]]
+        assert (r["low"], r["high"]) == (w["low"], w["high"]) and abs(r["mean"] - w["mean"]) < 1e-9 and abs(r["std"] - w["std"]) < 1e-9
+    assert all(r["mean"] is None for r in scaling.weighted_moments(windows.uses(df.limit(0)), windows.FEATURES, "uses").collect())
