@@ -21,6 +21,8 @@ from .base import keep, table
 SHARD, LEAF, BLOCK = 4096, 256, 512
 #: Vectors of the sample that pivots come from, by smallest hash of the id, and pivots at most. Every vector is searched.
 SAMPLE, PIVOTS = 2048, 256
+#: Vectors of all samples together, whatever the number of lengths.
+BUDGET = 16 * SAMPLE
 
 
 class VpTree:
@@ -129,17 +131,31 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
 
 
 def _pivots(rows: DataFrame, top: float) -> dict[int, np.ndarray]:
-    """For each vector length, pivots that lie far from each other, with their further coordinate, of a bounded sample."""
-    sizes = {r["d"]: r["n"] for r in rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    out = {}
-    for d, n in sizes.items():
-        sample = rows.where(F.size("v") == d).orderBy(F.xxhash64("id"), "id").select("v").limit(SAMPLE).collect()
-        x = _lifted(np.array([r["v"] for r in sample], float), top)
+    """For each vector length, pivots that lie far from each other, with their further coordinate, of a bounded sample.
+
+    A length costs a row on the driver. Only lengths of more than SHARD vectors are sampled, all in one job and BUDGET
+    vectors at most; the others, and all if there are more such lengths than that, have one ball around the origin.
+    """
+    d = F.size("v")
+    sizes = {r["d"]: r["n"] for r in rows.groupBy(d.alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = {n: _lifted(np.zeros((1, n)), top) for n in sizes}
+    large = sorted(n for n, count in sizes.items() if count > SHARD)
+    each = min(SAMPLE, BUDGET // len(large)) if large else 0
+    if not each:
+        return out
+    # Each partition passes on its own first rows of a length only.
+    first = F.row_number().over(W.partitionBy("d").orderBy("h", "id"))
+    ranked = rows.select(d.alias("d"), F.xxhash64("id").alias("h"), "id", "v").where(F.col("d").isin(large)).withColumn("r", first).where(F.col("r") <= each)
+    sample: dict[int, list] = {n: [] for n in large}
+    for r in ranked.select("d", "h", "id", "v").collect():
+        sample[r["d"]].append((r["h"], r["id"], r["v"]))
+    for n, found in sample.items():
+        x = _lifted(np.array([v for _, _, v in sorted(found)], float), top)
         chosen, far = [0], ((x - x[0]) ** 2).sum(1)
-        while len(chosen) < min(PIVOTS, -(-n // SHARD), len(x)) and far.max() > 0:
+        while len(chosen) < min(PIVOTS, -(-sizes[n] // SHARD), len(x)) and far.max() > 0:
             chosen.append(int(far.argmax()))
             far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
-        out[d] = x[chosen]
+        out[n] = x[chosen]
     return out
 
 

@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
+from sunloom.llm import neighbours
 from sunloom.llm.bpe import bpe_encode
 from sunloom.llm.line_dup import dedup_lines
 from sunloom.llm.neighbours import nearest
@@ -104,3 +107,18 @@ def test_scores(spark):
     assert scores(docs.limit(0), train).count() == 0
     assert {r[1] for r in scores(docs, train.where("y = 0")).collect()} == {0.0}
     assert {r[1] for r in scores(docs, train.limit(0)).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("budget", [4, 64])
+def test_nearest_among_vectors_of_many_lengths(spark, monkeypatch, budget):
+    monkeypatch.setattr(neighbours, "SHARD", 8)
+    monkeypatch.setattr(neighbours, "BUDGET", budget)  # 4: more large lengths than vectors to sample
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=1 + i % (6 if i < 120 else 40)) * (1 + i % 9)]) for i in range(300)]
+    got = {}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for r in nearest(df, df.where("vec_id % 7 = 0"), 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for i, q in rows[::7]:
+        others = [(-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in rows if j != i and len(v) == len(q)]
+        assert got.get(i, []) == [j for _, j in sorted(others)[:4]]
