@@ -2,8 +2,9 @@
 
 Vectors get one more coordinate that brings all to the largest norm, so the largest inner product is the smallest
 distance. A bounded sample gives pivots; the vectors nearest to a pivot are its ball, and a large ball is dealt to several
-shards. Each shard builds a vantage-point tree and streams its queries past it in blocks. A query first visits a shard of
-its nearest ball, then all shards but those that the triangle inequality rules out by their ball's radius; inside a tree,
+shards by norm. Each shard builds a vantage-point tree and streams its queries past it in blocks. A query first visits a shard of
+its nearest ball, then all shards but those that the triangle inequality rules out by their ball's radius, or the
+Cauchy-Schwarz inequality by their largest norm; inside a tree,
 subtrees are pruned in the same way. A relaxation factor above 1 prunes more, factor 1 is exact.
 """
 
@@ -21,6 +22,8 @@ from .base import keep, table
 SHARD, LEAF, BLOCK = 4096, 256, 512
 #: Vectors of the sample that pivots come from, by smallest hash of the id, and pivots at most. Every vector is searched.
 SAMPLE, PIVOTS = 2048, 256
+#: Ranges of norms that a ball is cut into at most.
+RANGES = 64
 #: Vectors of all samples together, whatever the number of lengths.
 BUDGET = 16 * SAMPLE
 
@@ -115,10 +118,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     top = (top or 1.0) * (1 + 1e-12)
     pivots = _pivots(rows, top)
     placed = keep(_placed(rows, pivots, top))
-    balls = placed.groupBy("d", "ball").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()  # PIVOTS a vector length
-    parts = {(r["d"], r["ball"]): (-(-r["n"] // SHARD), r["radius"]) for r in balls}
-    number = F.create_map(*[F.lit(x) for (d, b), (m, _) in parts.items() for x in (f"{d} {b}", m)]) if parts else F.create_map().cast("map<string,int>")
-    data = placed.select(F.lit(0).alias("kind"), "d", "ball", F.pmod(F.xxhash64("id"), F.try_element_at(number, F.concat_ws(" ", "d", "ball"))).cast("int").alias("part"), F.lit(0).cast("long").alias("q"), "id", F.lit(0.0).alias("least"), "v")
+    parts = _parts(placed)
+    data = _dealt(placed, parts)
 
     first = _searched(data, keep(_visits(ask.withColumn("least", F.lit(float("-inf"))), pivots, parts, top, factor, True)), k, top, factor)
     first = keep(first)
@@ -174,22 +175,77 @@ def _blocks(batch: pa.RecordBatch, column: int):
 
 
 def _placed(rows: DataFrame, pivots: dict[int, np.ndarray], top: float) -> DataFrame:
-    """(id, v, d, ball, far): the nearest pivot of each vector, and its distance."""
+    """(id, v, d, ball, far, norm): the nearest pivot of each vector, and its distance."""
 
     def run(batches):
         for b in batches:
-            d, ball, far = np.zeros(len(b), np.int32), np.zeros(len(b), np.int32), np.zeros(len(b))
+            d, ball, far, norm = np.zeros(len(b), np.int32), np.zeros(len(b), np.int32), np.zeros(len(b)), np.zeros(len(b))
             for at, x in _blocks(b, 1):
                 dot = _lifted(x, top) @ pivots[x.shape[1]].T
                 d[at], ball[at] = x.shape[1], dot.argmax(1)
                 far[at] = np.sqrt(np.maximum(0, 2 * (top * top - dot.max(1))))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d), pa.array(ball), pa.array(far)], names=["id", "v", "d", "ball", "far"])
+                norm[at] = _norm(x)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d), pa.array(ball), pa.array(far), pa.array(norm)], names=["id", "v", "d", "ball", "far", "norm"])
 
-    return rows.mapInArrow(run, "id long, v array<double>, d int, ball int, far double")
+    return rows.mapInArrow(run, "id long, v array<double>, d int, ball int, far double, norm double")
 
 
-def _visits(ask: DataFrame, pivots: dict[int, np.ndarray], parts: dict[tuple[int, int], tuple[int, float]], top: float, factor: float, first: bool) -> DataFrame:
-    """A row for each shard that a query (id, v, q, least) visits: one of its nearest ball, or the others in reach."""
+def _norm(x: np.ndarray) -> np.ndarray:
+    """The norm of each row, also where squares are beyond what a double holds."""
+    big = np.abs(x).max(1, keepdims=True)
+    return big[:, 0] * np.sqrt(((x / np.where(big > 0, big, 1)) ** 2).sum(1))
+
+
+def _parts(placed: DataFrame) -> dict[tuple[int, int], tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each (length, ball): its radius, the norms between its ranges, each range's shards, each shard's largest norm.
+
+    A ball of n vectors has about n / SHARD shards, in up to RANGES ranges of norms that hold about as many vectors each.
+    PIVOTS rows a vector length, of RANGES numbers at most, come to the driver.
+    """
+    grid = [i / RANGES for i in range(1, RANGES)]
+    sums = [F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"), F.max("norm").alias("norm"), F.percentile_approx("norm", grid, 1000).alias("cuts")]
+    out = {}
+    for r in placed.groupBy("d", "ball").agg(*sums).collect():
+        m = -(-r["n"] // SHARD)
+        ranges = min(m, RANGES)
+        upper = np.r_[[r["cuts"][-(-i * RANGES // ranges) - 1] for i in range(1, ranges)], r["norm"]]
+        # Equal norms are one range, with as many shards as its share of the vectors asks for.
+        cuts = np.unique(upper)[:-1]
+        each = -(-m * np.bincount(np.searchsorted(cuts, upper, "left"), minlength=len(cuts) + 1) // ranges)
+        out[r["d"], r["ball"]] = (r["radius"], cuts, each, np.repeat(np.r_[cuts, r["norm"]], each))
+    return out
+
+
+def _spread(ids: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    """A number under n for each id, by a multiplicative hash."""
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % n
+
+
+def _dealt(placed: DataFrame, parts: dict) -> DataFrame:
+    """The vectors with their shard (d, ball, part): by range of norms, and by id within one."""
+
+    def run(batches):
+        for b in batches:
+            ids, d, ball, norm = (b.column(i).to_numpy() for i in (0, 2, 3, 4))
+            part = np.zeros(len(b), np.int32)
+            for key in set(zip(d.tolist(), ball.tolist(), strict=True)):
+                at = np.flatnonzero((d == key[0]) & (ball == key[1]))
+                _, cuts, each, _ = parts[key]
+                own = np.searchsorted(cuts, norm[at], "left")
+                part[at] = (np.cumsum(each) - each)[own] + _spread(ids[at], each[own])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(b), np.int32)), b.column(2), b.column(3), pa.array(part), pa.array(np.zeros(len(b), np.int64)), b.column(0), pa.array(np.zeros(len(b))), b.column(1)], names=["kind", "d", "ball", "part", "q", "id", "least", "v"])
+
+    return placed.select("id", "v", "d", "ball", "norm").mapInArrow(run, _SHARDED)
+
+
+_SHARDED = "kind int, d int, ball int, part int, q long, id long, least double, v array<double>"
+
+
+def _visits(ask: DataFrame, pivots: dict[int, np.ndarray], parts: dict, top: float, factor: float, first: bool) -> DataFrame:
+    """A row for each shard that a query (id, v, q, least) visits: one of its nearest ball, or the others in reach.
+
+    The first is one of the quarter of the ball's shards with the largest norms, by the query's hash.
+    """
 
     def run(batches):
         for b in batches:
@@ -200,26 +256,29 @@ def _visits(ask: DataFrame, pivots: dict[int, np.ndarray], parts: dict[tuple[int
                 own = [i for i in range(len(pivots.get(d, ()))) if (d, i) in parts]
                 if not own:
                     continue
-                norm = np.sqrt((x**2).sum(1))
+                norm = _norm(x)
                 dot = (x @ pivots[d][own][:, :-1].T) * (top / norm)[:, None]
                 gap = np.sqrt(np.maximum(0, 2 * (top * top - dot)))
                 home = gap.argmin(1)
                 with np.errstate(invalid="ignore"):
                     reach = np.where(np.isinf(least[at]), np.inf, np.sqrt(np.maximum(0, 2 * (top * top - least[at] * (top / norm)))))
                 for j, ball in enumerate(own):
-                    m, radius = parts[d, ball]
-                    mine = np.abs(keys[at]) % m
+                    radius, _, _, most = parts[d, ball]
+                    m = len(most)
+                    mine = m - 1 - _spread(keys[at], -(-m // 4))
                     near = np.flatnonzero(home == j) if first else np.flatnonzero((gap[:, j] - radius) * factor <= reach + 1e-6 * top)
                     for part in range(m):
                         at_home = (home[near] == j) & (mine[near] == part)
-                        rows = at[near[at_home if first else ~at_home]]
+                        # Factor 1 keeps every shard whose largest norm could reach the score that is to be beaten.
+                        able = most[part] * norm[near] * (1 + 1e-9) >= least[at[near]] * (factor if not first else 1)
+                        rows = at[near[at_home if first else ~at_home & able]]
                         out[0].append(rows), out[1].append(np.full(len(rows), d)), out[2].append(np.full(len(rows), ball)), out[3].append(np.full(len(rows), part))
             at = np.concatenate(out[0]) if out[0] else np.zeros(0, np.int64)
             whole = b.take(pa.array(at))
             d, ball, part = (pa.array(np.concatenate(c) if c else [], pa.int32()) for c in out[1:])
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), d, ball, part, whole.column(2), whole.column(0), whole.column(3), whole.column(1)], names=["kind", "d", "ball", "part", "q", "id", "least", "v"])
 
-    return ask.select("id", "v", "q", "least").mapInArrow(run, "kind int, d int, ball int, part int, q long, id long, least double, v array<double>")
+    return ask.select("id", "v", "q", "least").mapInArrow(run, _SHARDED)
 
 
 def _searched(data: DataFrame, asked: DataFrame, k: int, top: float, factor: float) -> DataFrame:

@@ -122,3 +122,20 @@ def test_nearest_among_vectors_of_many_lengths(spark, monkeypatch, budget):
     for i, q in rows[::7]:
         others = [(-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in rows if j != i and len(v) == len(q)]
         assert got.get(i, []) == [j for _, j in sorted(others)[:4]]
+
+
+def test_nearest_by_ranges_of_norms(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD", 8)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 5)) * np.exp(2 * rng.normal(size=600))[:, None]
+    x[:200] = [3.0, 4.0, 0.0, 0.0, 0.0]  # a third of all rows are equal
+    x[200:260] *= 1e-170
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    parts = neighbours._parts(neighbours._placed(neighbours._valid(df, "vec_id", "embedding"), neighbours._pivots(neighbours._valid(df, "vec_id", "embedding"), 1e6), 1e6))
+    assert all(len(most) == each.sum() and (np.diff(most) >= 0).all() and len(each) == len(cuts) + 1 for _, cuts, each, most in parts.values())
+    got = {}
+    for r in nearest(df, df.where("vec_id % 20 = 0"), 20).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for i in range(0, 600, 20):
+        order = sorted((-sum(a * b for a, b in zip(x[i].tolist(), x[j].tolist(), strict=True)), j) for j in range(600) if j != i)
+        assert got[i] == [j for _, j in order[:20]]
