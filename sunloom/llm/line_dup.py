@@ -1,31 +1,37 @@
-"""Fuzzy line dedup by MinHash (operator 8, DataFrame functions only).
+"""Fuzzy line dedup by MinHash (operator 8).
 
-Each distinct line is cut into character shingles. Their hashes are points on a ring that is cut into bands; the first
-points of each band are a bucket key. Lines that share a bucket are candidates, exact Jaccard similarity confirms them,
-and distributed union-find keeps one line of each component.
+The set of character shingles of each distinct line gets a MinHash signature, whose bands are bucket keys. Lines that
+share a bucket are candidates, exact Jaccard similarity confirms them, and distributed union-find keeps one line of each
+component. Signatures and confirmation are NumPy over Arrow batches, because SQL functions take too long for them; the
+README has the figures. Lines, classes, buckets, components and texts are DataFrame functions.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import bounded, keep, table
+from .base import bounded, keep, slices, table
 from .linking import connect, shared_buckets
-
-#: Characters of a shingle, bands, and points that make up a key. At a similarity of 0.8 all bands miss with
-#: (1 - 0.8 ** 6) ** 20 < 0.003, at 0.85 with less than 1e-4.
-CHARS, BANDS, POINTS = 5, 20, 6
-#: Points that a line has at least: each shingle of a short line has several. Characters that are cut out together.
-LEAST, BLOCK = 256, 64
-#: Where the bands begin, and how many of them are looked up at a time.
-BOUNDS = [(2 * b - BANDS) * (2**63 // BANDS) for b in range(BANDS)]
-EACH = 5
+from .near_dup import mix
+
+#: Characters of a shingle, bands, and values that make up a key. At a similarity of 0.8 all bands miss with
+#: (1 - 0.8 ** 6) ** 20 < 0.003, at 0.85 with less than 1e-4. Rounds in which the bands are looked up.
+CHARS, BANDS, ROWS, ROUNDS = 5, 20, 6, 4
+M = BANDS * ROWS
+#: Characters that the SQL form cuts together. Bytes and lines that are hashed together; bits of a line's number there.
+BLOCK, SLICE, LINES, BITS = 64, 1_000_000, 1024, 10
 #: Nodes of a bucket up to which all pairs across its components are candidates.
 SMALL = 32
 
+_SHIFT, _HASH = np.uint64(64 - BITS), np.uint64(2 ** (64 - BITS) - 1)
+_STEP, _EMPTY, _VALUE = np.uint64(0x9E3779B97F4A7C15), np.uint64(2**64 - 1), np.uint64(2**48 - 1)
+_ODD = np.random.default_rng(8).integers(1, 2**63, max(CHARS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
 
 def _let(value: Column, body) -> Column:
     """body(value), with the value evaluated once."""
@@ -43,21 +49,86 @@ def _shingles(line: Column) -> Column:
     return F.when(F.length(line) < CHARS, F.array(F.xxhash64(line))).otherwise(F.array_distinct(F.flatten(F.transform(blocks, runs))))
 
 
-def _copies(n: Column) -> Column:
-    """The exponent of the power of two of points that each shingle of a set of n has, so that there are LEAST."""
-    return F.greatest(F.lit(0), F.ceil(F.log2(F.lit(float(LEAST)) / n))).cast("int")
-
-
-def _keys(hashes: Column, n: Column, percent: int) -> Column:
-    """The bucket keys: of the line's own number of copies, and of those that a smaller similar set may have."""
+def gram_sets(lines: list[str]) -> np.ndarray:
+    """The sets of shingle hashes of up to LINES lines, as sorted distinct values: the line's number, then the hash.
 
-    def of(e: Column) -> Column:
-        points = F.when(e == 0, hashes).otherwise(F.flatten(F.transform(hashes, lambda h: F.transform(F.sequence(F.lit(1), F.pow(F.lit(2), e).cast("int")), lambda j: F.xxhash64(h, j)))))
-        ring = F.sort_array(F.concat(points, F.lit(BOUNDS)))
-        return _let(ring, lambda r: F.transform(F.lit(BOUNDS), lambda b: F.xxhash64(e, b, F.slice(r, F.array_position(r, b).cast("int") + 1, POINTS))))
-
-    least = F.ceil(n * (percent / 100))
-    return F.flatten(F.transform(F.sequence(_copies(n), _copies(F.greatest(least, F.lit(1)))), of))
+    A line of less than CHARS characters has no values here: no other line has its only shingle.
+    """
+    sizes = np.array([len(x) for x in lines])
+    codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    if len(codes) < CHARS:
+        return np.zeros(0, np.uint64)
+    at = np.repeat(np.arange(len(lines)), np.maximum(sizes - CHARS + 1, 0))
+    starts = np.arange(len(at)) + (np.cumsum(sizes) - sizes - np.r_[0, np.cumsum(np.maximum(sizes - CHARS + 1, 0))[:-1]])[at]
+    rolled = sum(codes[j : len(codes) - CHARS + 1 + j] * _ODD[j] for j in range(CHARS))
+    values = np.sort((at.astype(np.uint64) << _SHIFT) | (mix(rolled[starts]) >> np.uint64(BITS)))
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
+def signatures(values: np.ndarray, count: int) -> np.ndarray:
+    """MinHash signatures, a row of M values for each of `count` sets as gram_sets() gives them.
+
+    In each turn every element falls into a random bin with a random value; a bin holds the least (turn, value). A set is
+    done when none of its bins is empty, so small sets take more turns. Two sets' bins are equal with the probability of
+    their Jaccard similarity, whenever each of them ended. Rows of empty sets stay empty.
+    """
+    low = np.full((count, M), _EMPTY)
+    line, values, turn = (values >> _SHIFT).astype(np.int64), values & _HASH, 0
+    while len(values):
+        width = int(min(512, max(1, 100_000 // len(values))))
+        turns = np.arange(turn, turn + width, dtype=np.uint64)
+        # The hashes are random already, so a factor of its own is enough for a turn: high bits are the bin, low the value.
+        h = values[:, None] * (mix(turns + _STEP) | np.uint64(1))
+        bins = ((h >> np.uint64(48)) * np.uint64(M) >> np.uint64(16)).view(np.int64) + line[:, None] * M
+        h &= _VALUE
+        h |= turns << np.uint64(48)
+        np.minimum.at(low.reshape(-1), bins.reshape(-1), h.reshape(-1))
+        on, turn = (low == _EMPTY).any(1)[line], turn + width
+        values, line = values[on], line[on]
+    return low
+
+
+def _slices(batch: pa.RecordBatch, *texts: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most LINES / len(texts) rows and, unless they are one row, of about SLICE bytes a column."""
+    parts = [batch.slice(i, LINES // len(texts)) for i in range(0, batch.num_rows, LINES // len(texts))]
+    for at in texts:
+        parts = [p.slice(lo, hi - lo) for p in parts for lo, hi in slices(p.column(at), SLICE)]
+    return iter(parts)
+
+
+def _sketched(classes: DataFrame) -> DataFrame:
+    """The classes with n, the size of their line's set, and its bucket keys (null for a line that is one short shingle)."""
+
+    def run(batches):
+        for batch in batches:
+            for part in _slices(batch, batch.num_columns - 1):
+                values = gram_sets(part.column(part.num_columns - 1).to_pylist())
+                n = np.bincount((values >> _SHIFT).astype(np.int64), minlength=part.num_rows)
+                rows = signatures(values, part.num_rows).reshape(-1, BANDS, ROWS)
+                keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (part.num_rows, BANDS))
+                for j in range(ROWS):
+                    keys = mix(keys * _ODD[j] + rows[:, :, j])
+                ends = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * BANDS)
+                keys = pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1).view(np.int64)), mask=pa.array(n == 0))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.maximum(n, 1).astype(np.int32)), keys], names=[*part.schema.names[:-1], "n", "keys"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema.fields[:-1])
+    return classes.mapInArrow(run, f"{fields}, n int, keys array<bigint>")
+
+
+def _alike(pairs: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) of the rows (a, b, line_a, line_b) whose sets are as similar as percent tells."""
+
+    def run(batches):
+        for batch in batches:
+            for part in _slices(batch, 2, 3):
+                sides = [gram_sets(part.column(i).to_pylist()) for i in (2, 3)]
+                both = np.sort(np.concatenate(sides))
+                count = lambda values: np.bincount((values >> _SHIFT).astype(np.int64), minlength=part.num_rows)  # noqa: B023, E731
+                total, same = count(both), count(both[1:][both[1:] == both[:-1]])
+                yield part.select([0, 1]).filter(pa.array((same > 0) & (same * 100 >= (total - same) * percent)))
+
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -106,11 +177,8 @@ def dropped_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     lines = _lines(docs)
     classes = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("line").alias("line"))
-    sets = classes.select("h1", "h2", "first", "copies", _shingles(F.col("line")).alias("s"))
-    keyed = sets.select("h1", "h2", "first", "copies", F.size("s").alias("n"), _keys(F.col("s"), F.size("s"), percent).alias("keys"))
-    classes = keep(keyed.withColumn("node", F.monotonically_increasing_id()))  # kept, so the ids stay
-    spans = math.ceil(math.log2(100 / percent)) + 1
-    shared = shared_buckets(classes.select("node", "n", "keys"), BANDS * spans, BANDS * spans // EACH, placed=False)
+    classes = keep(_sketched(classes.select("h1", "h2", "first", "copies", "line")).withColumn("node", F.monotonically_increasing_id()))  # kept, so the ids stay
+    shared = shared_buckets(classes.select("node", "n", "keys"), BANDS, ROUNDS)
 
     ids = bounded(classes.join(bounded(shared.select("node").distinct()), "node").select("node", "n", "h1", "h2", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at")))
     same = [F.col(f"l.{c}") == F.col(f"i.{c}") for c in ("h1", "h2", "at")] + [F.col("l.doc_id").eqNullSafe(F.col("i.doc_id"))]
@@ -120,9 +188,7 @@ def dropped_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda x, c: lead.select(F.col("node").alias(x), F.col(c).alias(f"{c}_{x}"))
         near = pairs.join(side("a", "n"), "a").join(side("b", "n"), "b").where(fits("_a", "_b")).select("a", "b")
-        both = near.join(side("a", "line"), "a").join(side("b", "line"), "b").select("a", "b", _shingles(F.col("line_a")).alias("s_a"), _shingles(F.col("line_b")).alias("s_b"))
-        both = both.select("a", "b", F.size(F.array_intersect("s_a", "s_b")).alias("i"), (F.size("s_a") + F.size("s_b")).alias("t"))
-        return both.where(F.col("i") * 100 >= (F.col("t") - F.col("i")) * percent).select("a", "b")
+        return _alike(near.join(side("a", "line"), "a").join(side("b", "line"), "b").select("a", "b", "line_a", "line_b"), percent)
 
     fits = lambda a, b: F.least(f"n{a}", f"n{b}") * 100 >= F.greatest(f"n{a}", f"n{b}") * percent
     label = connect(shared, verify, fits, lambda told: verify(_apart(told, lead, percent)))
