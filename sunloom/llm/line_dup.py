@@ -8,7 +8,7 @@ README has the figures. Lines, classes, buckets, components and texts are DataFr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +17,15 @@ from pyspark.sql import functions as F
 
 from .base import bounded, keep, slices, table
 from .linking import connect, shared_buckets
-from .near_dup import mix
+from .near_dup import across, mix
 
 #: Characters of a shingle, bands, and values that make up a key. At a similarity of 0.8 all bands miss with
 #: (1 - 0.8 ** 6) ** 20 < 0.003, at 0.85 with less than 1e-4. Rounds in which the bands are looked up.
 CHARS, BANDS, ROWS, ROUNDS = 5, 20, 6, 4
 M = BANDS * ROWS
-#: Characters that the SQL form cuts together. Bytes and lines that are hashed together; bits of a line's number there.
-BLOCK, SLICE, LINES, BITS = 64, 1_000_000, 1024, 10
-#: Nodes of a bucket up to which all pairs across its components are candidates.
+#: Bytes and lines that are hashed together; bits of a line's number there.
+SLICE, LINES, BITS = 1_000_000, 1024, 10
+#: Nodes of a bucket up to which all pairs across its components are written as candidates.
 SMALL = 32
 
 _SHIFT, _HASH = np.uint64(64 - BITS), np.uint64(2 ** (64 - BITS) - 1)
@@ -38,17 +38,6 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _shingles(line: Column) -> Column:
-    """The distinct hashes of the runs of CHARS characters; a shorter line is one shingle.
-
-    Characters are counted from the start of a block, not of the line, so long lines take linear time.
-    """
-    block = lambda j: F.substr(line, j * BLOCK + 1, F.lit(BLOCK + CHARS - 1))
-    runs = lambda b: F.transform(F.sequence(F.lit(1), F.length(b) - (CHARS - 1)), lambda i: F.xxhash64(F.substr(b, i, F.lit(CHARS))))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length(line) - CHARS) / BLOCK).cast("int")), block)
-    return F.when(F.length(line) < CHARS, F.array(F.xxhash64(line))).otherwise(F.array_distinct(F.flatten(F.transform(blocks, runs))))
-
-
 def gram_sets(lines: list[str]) -> np.ndarray:
     """The sets of shingle hashes of up to LINES lines, as sorted distinct values: the line's number, then the hash.
 
@@ -88,6 +77,15 @@ def signatures(values: np.ndarray, count: int) -> np.ndarray:
     return low
 
 
+def bucket_keys(values: np.ndarray, count: int) -> np.ndarray:
+    """A bucket key for each band of the signatures; the band's number is part of it."""
+    rows = signatures(values, count).reshape(count, BANDS, ROWS)
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (count, BANDS))
+    for j in range(ROWS):
+        keys = mix(keys * _ODD[j] + rows[:, :, j])
+    return keys.view(np.int64)
+
+
 def _slices(batch: pa.RecordBatch, *texts: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of at most LINES / len(texts) rows and, unless they are one row, of about SLICE bytes a column."""
     parts = [batch.slice(i, LINES // len(texts)) for i in range(0, batch.num_rows, LINES // len(texts))]
@@ -104,12 +102,8 @@ def _sketched(classes: DataFrame) -> DataFrame:
             for part in _slices(batch, batch.num_columns - 1):
                 values = gram_sets(part.column(part.num_columns - 1).to_pylist())
                 n = np.bincount((values >> _SHIFT).astype(np.int64), minlength=part.num_rows)
-                rows = signatures(values, part.num_rows).reshape(-1, BANDS, ROWS)
-                keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (part.num_rows, BANDS))
-                for j in range(ROWS):
-                    keys = mix(keys * _ODD[j] + rows[:, :, j])
                 ends = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * BANDS)
-                keys = pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1).view(np.int64)), mask=pa.array(n == 0))
+                keys = pa.ListArray.from_arrays(ends, pa.array(bucket_keys(values, part.num_rows).reshape(-1)), mask=pa.array(n == 0))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.maximum(n, 1).astype(np.int32)), keys], names=[*part.schema.names[:-1], "n", "keys"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema.fields[:-1])
@@ -141,29 +135,27 @@ def _lines(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", "row", "at", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), "line")
 
 
-def _apart(told: DataFrame, lead: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of nodes of different components, from rows (key, node, n, m, label) of buckets of m nodes.
+def _loaded(rows: list[tuple[str]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The bucket keys and the sets of lines, as across() asks for them."""
+    keys, sets = [], []
+    for i in range(0, len(rows), LINES):
+        part = [r[0] for r in rows[i : i + LINES]]
+        values = gram_sets(part)
+        keys.append(bucket_keys(values, len(part)))
+        sets += np.split(values & _HASH, np.searchsorted(values >> _SHIFT, np.arange(1, len(part), dtype=np.uint64)))
+    return np.concatenate(keys), sets
 
-    Buckets of up to SMALL nodes give their pairs. The nodes of larger ones meet by their rarest shingles instead, and no
-    pair that is alike is left out: sets with 100 * intersection >= percent * union share more than what is left out of a
-    set after its n - ceil(percent / 100 * n) + 1 rarest shingles, so they have one of those in common. Unlike lines of
-    one bucket have the bucket's common shingles, but not each other's rare ones, so they make no pairs.
-    """
 
-    def meet(rows: DataFrame, by: str) -> DataFrame:
-        side = lambda x: rows.select(by, *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n")])
-        both = side("a").join(side("b"), by).where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent))
-        return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+def _apart(told: DataFrame, lead: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """The links (a, b) that join components, from rows (key, node, n, m, label) of buckets of m nodes.
 
-    nodes = keep(told.where(F.col("m") > SMALL).select("node", "label", "n").distinct())
-    found = meet(told.where(F.col("m") <= SMALL), "key")
-    if not nodes.isEmpty():
-        sets = lead.select("node", "line").join(nodes.select("node"), "node").select("node", F.explode(_shingles(F.col("line"))).alias("s"))
-        often = sets.groupBy("s").agg(F.count(F.lit(1)).alias("often"))
-        ordered = sets.join(often, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "s"))).alias("s")).join(nodes, "node")
-        rare = F.slice("s", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-        found = found.unionByName(meet(keep(ordered.select("node", "label", "n", F.explode(rare).alias("r")).select(F.col("r.s").alias("s"), "node", "label", "n")), "s"))
-    return keep(found.distinct())
+    Buckets of up to SMALL nodes write their pairs across components, which verify() confirms; the pairs of larger ones
+    are counted inside tasks.
+    """
+    side = lambda x: told.where(F.col("m") <= SMALL).select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n")])
+    few = side("a").join(side("b"), "key").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent))
+    few = verify(keep(few.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()))
+    return few.unionByName(across(told.where(F.col("m") > SMALL), lead.select("node", "line"), _loaded, percent)).distinct()
 
 
 def dropped_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -191,7 +183,7 @@ def dropped_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         return _alike(near.join(side("a", "line"), "a").join(side("b", "line"), "b").select("a", "b", "line_a", "line_b"), percent)
 
     fits = lambda a, b: F.least(f"n{a}", f"n{b}") * 100 >= F.greatest(f"n{a}", f"n{b}") * percent
-    label = connect(shared, verify, fits, lambda told: verify(_apart(told, lead, percent)))
+    label = connect(shared, verify, fits, lambda told: _apart(told, lead, verify, percent))
     linked = keep(classes.select("node", "first").join(label, "node"))
     best = linked.groupBy("component").agg(F.min("first").alias("best"))
     told = classes.select("node", "h1", "h2", "first", "copies").join(linked.select("node", "component").join(best, "component").drop("component"), "node", "left")

@@ -9,6 +9,7 @@ equal registers estimates their similarity; exact sets confirm it.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -170,12 +171,11 @@ def _leaders(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     return own.alias("o").join(bounded(classes.select("node", "doc_id", "n", "f1", "f2")).alias("c"), same).select("node", "o.n", "regs", "o.text").dropDuplicates(["node"])
 
 
-def _links(key: int, parts: np.ndarray, nodes: np.ndarray, labels: np.ndarray, regs: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def _links(key: int, parts: np.ndarray, nodes: np.ndarray, labels: np.ndarray, keys: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links between different components of a bucket's nodes, none that the others among them make needless.
 
     With two parts only pairs between them are compared. Pairs that share an earlier band meet in that band's bucket.
     """
-    keys = bands(regs)
     band = int(np.flatnonzero(keys[0] == key)[0])
     tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(tokens, kind="stable")
@@ -210,12 +210,16 @@ def _links(key: int, parts: np.ndarray, nodes: np.ndarray, labels: np.ndarray, r
     return out
 
 
-def _across(told: DataFrame, lead: DataFrame, size: int, percent: int) -> DataFrame:
-    """The links (a, b) that join components within buckets; candidate pairs are counted inside tasks, never written."""
+def across(told: DataFrame, lead: DataFrame, load: Callable[[list[tuple]], tuple[np.ndarray, list[np.ndarray]]], percent: int) -> DataFrame:
+    """The links (a, b) that join components within buckets; candidate pairs are counted inside tasks, never written.
+
+    told: rows (key, node, label, m) of buckets of m nodes. lead: (node, ...); load makes of the other columns of some
+    nodes their bucket keys, a row of all bands for each node, and their sets.
+    """
     parts, part = blocks()
     rows = told.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "label")
-    rows = rows.join(lead.select("node", "regs", "text"), "node").select("key", "low", "high", "part", "node", "label", "regs", "text")
+    rows = rows.join(lead, "node").select("key", "low", "high", "part", "node", "label", *[c for c in lead.columns if c != "node"])
 
     def run(batches):
         held, last = [], None
@@ -224,8 +228,7 @@ def _across(told: DataFrame, lead: DataFrame, size: int, percent: int) -> DataFr
             parts, nodes, labels = (np.array(c, np.int64) for c in zip(*[(x[3], x[4], x[5]) for x in held], strict=True))
             if len(np.unique(labels)) < 2:
                 return None
-            regs = np.frombuffer(b"".join(x[6] for x in held), np.uint16).reshape(-1, M)
-            found = _links(last[0], parts, nodes, labels, regs, shingle_sets([x[7] for x in held], size), percent)
+            found = _links(last[0], parts, nodes, labels, *load([x[6:] for x in held]), percent)
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"]) if found else None
 
         for b in batches:
@@ -284,7 +287,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         return both.mapInArrow(confirm, "a long, b long")
 
     fits = lambda a, b: F.least(f"n{a}", f"n{b}") * 100 >= F.greatest(f"n{a}", f"n{b}") * percent
-    label = connect(shared, verify, fits, lambda told: _across(told, lead, size, percent))
+    load = lambda rows: (bands(np.frombuffer(b"".join(r[0] for r in rows), np.uint16).reshape(-1, M)), shingle_sets([r[1] for r in rows], size))
+    label = connect(shared, verify, fits, lambda told: across(told, lead.select("node", "regs", "text"), load, percent))
     told = classes.select("node", "f1", "f2", "n", "doc_id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     told = keep(told.select("component", F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("g"), "doc_id"))
     lowest = told.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from sunloom.llm.line_dup import _apart, _shingles, dedup_lines, dropped_lines
+from sunloom.llm.line_dup import BITS, _apart, _loaded, dedup_lines, dropped_lines, gram_sets, signatures
 from sunloom.llm.linking import SHARE, connect
 
 
@@ -73,7 +74,7 @@ def test_pairs_on_two_sides_of_a_power_of_two(spark):
 
 
 def test_many_unlike_lines_of_one_bucket(spark):
-    """Lines that share most of their text, but too little to be alike, make few candidates; alike ones among them are found."""
+    """Of lines that share most of their text, but too little to be alike, those that are alike are found, and no others."""
     rng = random.Random(5)
     body = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60))
     tail = lambda n: "".join(rng.choices("0123456789", k=n))
@@ -81,12 +82,15 @@ def test_many_unlike_lines_of_one_bucket(spark):
     lines += [lines[7][:-2] + "xy", lines[211][:-1] + "z"]
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     assert {(r["doc_id"], r["at"]) for r in dropped_lines(df).collect()} == brute(list(enumerate(lines)))
-    lead = df.select(F.col("doc_id").alias("node"), F.size(_shingles(F.col("text"))).alias("n"), F.col("text").alias("line"))
-    pairs = _apart(lead.select(F.lit(1).alias("key"), "node", "n", F.lit(len(lines)).alias("m"), F.col("node").alias("label")), lead, 80)
-    found = {(r["a"], r["b"]) for r in pairs.collect()}
+    # The bucket of the first band that a pair shares, told to be a large one: its pairs are counted inside a task.
+    keys = _loaded([(x,) for x in lines])[0]
+    band = int(np.flatnonzero(keys[7] == keys[300])[0])
+    same = [int(i) for i in np.flatnonzero(keys[:, band] == keys[7, band])]
+    lead = df.select(F.col("doc_id").alias("node"), F.lit(80).alias("n"), F.col("text").alias("line"))
+    told = lead.where(F.col("node").isin(same)).select(F.lit(int(keys[7, band])).alias("key"), "node", "n", F.lit(len(lines)).alias("m"), F.col("node").alias("label"))
+    found = {(r["a"], r["b"]) for r in _apart(told, lead, lambda pairs: pairs, 80).collect()}
     sets = [shingles(x) for x in lines]
-    alike = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
-    assert (7, 300) in alike <= found and len(found) < len(lines) ** 2 / 20
+    assert (7, 300) in found and all(100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a, b in found)
 
 
 def test_repeated_ids_are_told_apart(spark):
@@ -97,11 +101,23 @@ def test_repeated_ids_are_told_apart(spark):
     assert got == sorted([("1", "own", 1), ("1", "own", 1), ("1", "other words", 1), ("None", f"{line}.", 0), ("None", "alone in here", 0)])
 
 
-def test_long_lines_have_the_same_shingles(spark):
+def test_sets_and_signatures():
+    """Sets of lines of all lengths have the right sizes; bins are equal about as often as the similarity says."""
     rng = random.Random(3)
-    lines = ["".join(rng.choices("abé\U0001f600 ", k=n)) for n in (1, 4, 5, 6, 63, 64, 65, 67, 68, 69, 128, 132, 133, 500)]
-    got = spark.createDataFrame([(x,) for x in lines], "line string").select("line", F.size(_shingles(F.col("line"))).alias("n")).collect()
-    assert all(r["n"] == len(shingles(r["line"])) for r in got)
+    lines = ["".join(rng.choices("abé\U0001f600 ", k=n)) for n in (0, 1, 4, 5, 6, 63, 64, 69, 128, 133, 500, 3)]
+    at = gram_sets(lines) >> np.uint64(64 - BITS)
+    assert [int((at == i).sum()) for i in range(len(lines))] == [len(shingles(x)) if len(x) >= 5 else 0 for x in lines]
+    assert len(gram_sets([])) == len(gram_sets(["", "ab"])) == 0
+    equal, real = [], []
+    for n in (40, 300, 2000):
+        for _ in range(30):
+            line = "".join(rng.choices("abcdefghijklmnop", k=n))
+            pair = [line, line[: n * 9 // 10] + "".join(rng.choices("qrstuv", k=n // 20))]
+            low = signatures(gram_sets(pair), 2)
+            a, b = map(shingles, pair)
+            equal.append((low[0] == low[1]).mean())
+            real.append(len(a & b) / len(a | b))
+    assert abs(np.mean(equal) - np.mean(real)) < 0.015
 
 
 def test_hot_bucket_of_unlike_nodes(spark):
