@@ -1,7 +1,8 @@
 """Fits of LSTM forecasters on windows, data-parallel: one model, or an expert for each label, all in the same jobs.
 
-Executors compute gradient sums over the rows of a mini-batch, a row for each partition and label; those are added up in
-two levels, and only sums of the size of the weights reach the driver, which holds weights and optimizer. Mini-batches and
+Each epoch deals its rows out by mini-batch in one shuffle, so a step runs on the partitions of its mini-batch alone.
+Executors compute gradient sums there, a row for each partition and label, and only these sums of the size of the weights
+reach the driver, which holds weights and optimizer; sums over validation rows are added up in two levels. Mini-batches and
 dropout depend on the rows' keys, not on where rows are, so any partitioning gives the same weights but for rounding.
 """
 
@@ -13,7 +14,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import RDD
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,20 +157,51 @@ def _total(partial: DataFrame, parts: int) -> dict[int, tuple[int, np.ndarray]]:
     return {k: (n, v) for k, (n, v) in out.items()}
 
 
-def _sums(rows: DataFrame, shape: Shape, weights: dict[int, np.ndarray], options: Options, epoch: int | None, parts: int) -> dict[int, tuple[int, np.ndarray]]:
-    """By label: rows, and squared errors with their gradient (training, with dropout), or errors alone (epoch is None)."""
+def _dealt(rows: DataFrame, shape: Shape, steps: int, options: Options) -> tuple[DataFrame, int]:
+    """The rows (label, key, x, y, batch) with each mini-batch in partitions of its own, and how many these are.
+
+    A row holds up to SLICE windows of a label as bytes. So a step reads its own windows, not those of the whole epoch.
+    """
+    width = min(WIDE, -(-options.batch // SLICE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, keys, x, y in _parts(batches, shape):
+            values = [pa.array([v.tobytes()], pa.binary()) for v in (keys, x, y)]
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *values], names=["label", "keys", "x", "y"])
+
+    at = (F.col("batch") * width + F.pmod(F.xxhash64("key", F.lit("part")), F.lit(width))).cast("int")
+    return rows.repartitionById(steps * width, at).select("label", "key", "x", "y").mapInArrow(run, "label int, keys binary, x binary, y binary").persist(), width
+
+
+def _step(dealt: RDD, parts: Sequence[int], shape: Shape, weights: dict[int, np.ndarray], options: Options, epoch: int) -> dict[int, tuple[int, np.ndarray]]:
+    """By label: rows, and the gradient of their squared errors, with dropout, and these, over some partitions of _dealt()."""
+
+    def run(rows: Iterator[Row]) -> Iterator[tuple[int, int, np.ndarray]]:
+        sums: dict[int, list] = {}
+        for r in rows:
+            if r["label"] not in weights:
+                continue
+            keys, x, y = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["x"]), np.frombuffer(r["y"])
+            x, y = x.reshape(len(keys), -1, shape.inputs), y.reshape(len(keys), -1)
+            loss, grad = gradient(shape, shape.named(weights[r["label"]]), x, y, shape.masks(keys, x.shape[1], options.seed, epoch))
+            _add(sums, r["label"], len(x), np.append(shape.flat(grad), loss))
+        return iter([(k, n, v) for k, (n, v) in sums.items()])
+
+    out: dict[int, list] = {}
+    for k, n, v in dealt.context.runJob(dealt, run, parts):  # a row for each label and of at most WIDE partitions
+        _add(out, k, n, v)
+    return {k: (n, v) for k, (n, v) in out.items()}
+
+
+def _sums(rows: DataFrame, shape: Shape, weights: dict[int, np.ndarray], options: Options, parts: int) -> dict[int, tuple[int, np.ndarray]]:
+    """By label: rows, and their squared errors over all steps and over the first `horizon`."""
     known = rows.sparkSession.sparkContext.broadcast(weights)  # as large as the weights of all labels
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
-        for k, keys, x, y in _parts(batches, shape):
-            w = shape.named(known.value[k])
-            if epoch is None:
-                error = (predict(shape, w, x) - y) ** 2
-                _add(sums, k, len(x), np.array([error.sum(), error[:, : options.horizon].sum()]))
-            else:
-                loss, grad = gradient(shape, w, x, y, shape.masks(keys, x.shape[1], options.seed, epoch))
-                _add(sums, k, len(x), np.append(shape.flat(grad), loss))
+        for k, _, x, y in _parts(batches, shape):
+            error = (predict(shape, shape.named(known.value[k]), x) - y) ** 2
+            _add(sums, k, len(x), np.array([error.sum(), error[:, : options.horizon].sum()]))
         if sums:
             yield _rows(sums)
 
@@ -181,7 +214,7 @@ def _sums(rows: DataFrame, shape: Shape, weights: dict[int, np.ndarray], options
 def fit(rows: DataFrame, shape: Shape, options: Options = Options(), start: dict[int, Weights] | None = None, frozen: Sequence[str] = ()) -> Fit:
     """Trains a model for each label of rows (key, split, label, x, y), all labels in the same jobs.
 
-    Each epoch goes through the rows of split train in mini-batches, one job a step, then measures split val. A label
+    Each epoch goes through the rows of split train in mini-batches, one small job a step, then measures split val. A label
     stops on its own and gets back the weights of its best epoch. Labels without training rows are skipped; those without
     validation rows are measured on FEW of their training rows, the ones of smallest keys. start: weights to begin from,
     by label, or drawn anew by seed and label; with lr scaled down this is a warm start. Parameters whose names begin
@@ -207,12 +240,16 @@ def fit(rows: DataFrame, shape: Shape, options: Options = Options(), start: dict
             break
         losses: dict[int, list[tuple[int, float]]] = {k: [] for k in running}
         own = train.where(F.col("label").isin(running)).withColumn("batch", batch_of("key", _by_label(batches), options.seed, epoch))
-        for step in range(max(batches[k] for k in running)):
-            now = _sums(own.where((F.col("batch") == step) & (_by_label(batches) > step)), shape, {k: flat[k] for k in running}, options, epoch, parts)
+        steps = max(batches[k] for k in running)
+        dealt, width = _dealt(own, shape, steps, options)
+        each = dealt.rdd
+        for step in range(steps):
+            now = _step(each, range(step * width, (step + 1) * width), shape, {k: flat[k] for k in running}, options, epoch)
             for k, (n, sums) in now.items():
                 losses[k].append((n, sums[-1] / (n * shape.steps)))
                 flat[k] = adam[k].step(flat[k], free * sums[:-1] / (n * shape.steps)) if frozen else adam[k].step(flat[k], sums[:-1] / (n * shape.steps))
-        told = _sums(val.where(F.col("label").isin(running)), shape, {k: flat[k] for k in running}, options, None, parts)
+        dealt.unpersist()
+        told = _sums(val.where(F.col("label").isin(running)), shape, {k: flat[k] for k in running}, options, parts)
         for k in running:
             n, (every, first) = told[k]
             loss, rmse = every / (n * shape.steps), math.sqrt(first / (n * min(options.horizon, shape.steps)))

@@ -184,3 +184,17 @@ def test_queries(spark):
     both = QUERIES["expert_forecast"](spark, sf).collect()
     assert {(r["routing"], r["horizon"]) for r in both} == {(m, h) for m in ("hard", "soft") for h in ("1h", "2h", "4h")}
     assert all(r["rmse"] < plain["test", r["horizon"]] for r in both)
+
+
+def test_a_step_runs_on_its_own_mini_batch_alone(spark):
+    df, options, sc = rows(spark, parts=16), Options(lr=0.02, batch=8, epochs=1), spark.sparkContext
+    df.count()
+    sc.setJobGroup("steps", "a fit")
+    try:
+        fit(df, SMALL, options)
+        jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("steps")]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    ran = [sum(i.numCompletedTasks for s in j.stageIds if (i := sc.statusTracker().getStageInfo(s))) for j in jobs]
+    steps = max(-(-r["count"] // options.batch) for r in df.where("split = 'train'").groupBy("label").count().collect())
+    assert ran.count(1) >= steps - 1 > 3, ran  # the first step deals the rows out; a step once ran a task for each of the 16 partitions
