@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from functools import lru_cache
 from itertools import chain
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,12 @@ def _newer() -> str:
     return "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges)
 
 
+def _written(kind: str) -> str:
+    """The ranges of code points up to U+FFFF that the regex module finds by a class."""
+    found = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x10000))))
+    return "".join(f"{m[0][0]}-{m[0][-1]}" for m in regex.finditer(f"{kind}+", found))
+
+
 def _pattern(spec: dict) -> str:
     """The file's own pattern of a word; files that normalize or cut otherwise are refused, not encoded wrongly."""
     normal = [(x["type"], x.get("pattern"), x.get("content")) for x in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -79,63 +87,88 @@ class WordBpe:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model.get("end_of_word_suffix") or ""
-        self.ranks = {tuple(x.split(" ") if isinstance(x, str) else x): i for i, x in enumerate(model["merges"])}
+        merges = [tuple(x.split(" ") if isinstance(x, str) else x) for x in model["merges"]]
+        # By rank, the ids of a merge's two symbols and of what they make; ranks by both ids in one number.
+        self.left, self.right = ([self.vocab[m[side]] for m in merges] for side in (0, 1))
+        self.made = [self.vocab[a + b] for a, b in merges]
+        self.ranks = {a << 32 | b: i for i, (a, b) in enumerate(zip(self.left, self.right, strict=True))}
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.strings = {i: t for t, i in chain(self.vocab.items(), self.added.items())}
-        self.chars = _byte_chars()
+        self.inner, self.last = ([self.vocab.get(c + end, -1) for c in _byte_chars()] for end in ("", self.end))
         pattern = _pattern(spec).replace(r"\s", _SPACE)
         self.pattern = regex.compile(pattern)
         # For the few texts with characters that only the regex module knows as letters or numbers.
         self.newer = regex.compile(f"[{_newer()}{''.join(map(chr, LOWERED))}]")
+        self.newest = re.compile(f"[{min(c for c in _newer() + ''.join(map(chr, LOWERED)) if c != '-')}-\U0010ffff]")
+        # Up to U+FFFF the classes are written out, for the faster module; other texts are looked for by the class of what lies beyond.
+        self.plain = re.compile(pattern.replace(r"\p{L}", _written(r"\p{L}")).replace(r"\p{N}", _written(r"\p{N}")))
+        self.beyond = re.compile("[\U00010000-\U0010ffff]")
         self.exact = regex.compile(regex.sub(r"\](?=\+|\||$)", f"--[{_newer()}]]", pattern), regex.V1) if _newer() else self.pattern
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         self.cache: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     def word_ids(self, word: str) -> list[int]:
-        symbols = [self.chars[b] for b in word.encode()]
-        symbols[-1] += self.end
-        symbols = [s for s in symbols if s in self.vocab]
-        n = len(symbols)
-        before, after, ranks = list(range(-1, n - 1)), list(range(1, n + 1)), self.ranks
-        queue = [(r, i, pair) for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)) if (r := ranks.get(pair)) is not None]
+        data = word.encode()
+        symbols = [self.inner[b] for b in data]
+        symbols[-1] = self.last[data[-1]]
+        if -1 in symbols:
+            symbols = [s for s in symbols if s >= 0]
+        n, ranks, left, right = len(symbols), self.ranks, self.left, self.right
+        before, after, shift = list(range(-1, n - 1)), list(range(1, n + 1)), n.bit_length()
+        # An entry is one number, the rank in front of the position.
+        queue = [r << shift | i for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if (r := ranks.get(a << 32 | b)) is not None]
         heapq.heapify(queue)
         while queue:
-            _, i, pair = heapq.heappop(queue)
+            top = heapq.heappop(queue)
+            rank, i = top >> shift, top & (1 << shift) - 1
             j = after[i]
-            if symbols[i] != pair[0] or j >= n or symbols[j] != pair[1]:
+            if symbols[i] != left[rank] or j >= n or symbols[j] != right[rank]:
                 continue  # stale
-            symbols[i], symbols[j] = pair[0] + pair[1], ""
+            symbols[i], symbols[j] = self.made[rank], -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-            for left, right in ((before[i], i), (i, k)):
-                if left >= 0 and right < n and (r := ranks.get(new := (symbols[left], symbols[right]))) is not None:
-                    heapq.heappush(queue, (r, left, new))
-        return [self.vocab[s] for s in symbols if s]
+                if (r := ranks.get(symbols[i] << 32 | symbols[k])) is not None:
+                    heapq.heappush(queue, r << shift | i)
+            if (k := before[i]) >= 0 and (r := ranks.get(symbols[k] << 32 | symbols[i])) is not None:
+                heapq.heappush(queue, r << shift | k)
+        return [s for s in symbols if s >= 0]
 
     def _word(self, word: str) -> tuple[bytes, str]:
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        ids = self.word_ids(word)
-        self.cache[word] = out = (np.array(ids, "<i4").tobytes(), self.decode(ids))
+        if (out := self.older.get(word)) is None:
+            ids = self.word_ids(word)
+            out = (pack(f"<{len(ids)}i", *ids), self.decode(ids))
+        if len(self.cache) >= CACHE // 2:
+            # Words that are met again come back from the older half, so the frequent ones stay.
+            self.older, self.cache = self.cache, {}
+        self.cache[word] = out
         return out
 
     def words(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            if self.newer.search(text):
+            if self.newest.search(text) and self.newer.search(text):
                 return self.exact.findall(text.lower().translate(LOWERED))
-        return self.pattern.findall(text.lower())
+        text = text.lower()
+        return self.pattern.findall(text) if not text.isascii() and self.beyond.search(text) else self.plain.findall(text)
+
+    def _all(self, words: list[str]) -> list[tuple[bytes, str]]:
+        out = list(map(self.cache.get, words))
+        if None in out:
+            miss, get = self._word, self.cache.get  # a dict that is made older meanwhile is still right
+            out = [x or get(w) or miss(w) for x, w in zip(out, words, strict=True)]
+        return out
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """The ids as little-endian 32-bit integers, and the decoded text."""
-        get, miss, out, at = self.cache.get, self._word, [], 0
+        out, at = [], 0
         if "<" in text:
             for m in self.special.finditer(text):
-                out += [get(w) or miss(w) for w in self.words(text[at : m.start()])]
-                out.append((np.int32(self.added[m[0]]).tobytes(), m[0]))
+                out += self._all(self.words(text[at : m.start()]))
+                out.append((pack("<i", self.added[m[0]]), m[0]))
                 at = m.end()
-        out += [get(w) or miss(w) for w in self.words(text[at:] if at else text)]
+        out += self._all(self.words(text[at:] if at else text))
         return b"".join([x[0] for x in out]), " ".join([x[1] for x in out if x[1]])
 
     def decode(self, ids: list[int]) -> str:

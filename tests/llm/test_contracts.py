@@ -114,3 +114,19 @@ def test_leaks_on_odd_rows(spark, odd):
     assert got[None] == (14, 14, ["b1"])
     assert got[7] == (16, 14, ["b1"]) and got[4] == (2, 2, ["b4"]) and got[1] == (0, 0, []) and got[6] == (3000, 0, [])
     assert leaks(docs, bench.limit(0)).where("n_hit > 0").count() == 0 and leaks(docs.limit(0), bench).count() == 0
+
+
+def test_bpe_remembers_frequent_words_when_its_cache_is_full(monkeypatch):
+    import public_tokenizers
+
+    from sunloom.llm import bpe
+
+    monkeypatch.setattr(bpe, "CACHE", 8)
+    own, seen = bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json")), []
+    plain = own.word_ids
+    monkeypatch.setattr(own, "word_ids", lambda w: seen.append(w) or plain(w))
+    rare = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(60)]
+    got = [own.encode(f"often {w}") for w in rare]
+    assert seen.count("often") == 1 and len(seen) == 61  # forgetting all words at once encoded it again and again
+    assert got == [bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json")).encode(f"often {w}") for w in rare]
+    assert len(own.cache) <= 4 and len(own.older) <= 4
