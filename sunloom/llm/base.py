@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +58,32 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+_REMEMBERED: list = []
+
+
+def remembered(make: Callable) -> Callable:
+    """Keeps what make() gave last for each worker, until a task calls forget() for another operator.
+
+    Workers outlive the stages of a pipeline, and what one stage remembers must not add to the memory of the next.
+    """
+    out = lru_cache(maxsize=1)(make)
+    _REMEMBERED.append(out)
+    return out
+
+
+def forget(*own: Callable) -> None:
+    """Drops what this worker remembers, but for own, and gives the memory back to the system."""
+    others = [x for x in _REMEMBERED if x not in own and x.cache_info().currsize]
+    for x in others:
+        x.cache_clear()
+    if others:
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library, which gives memory back in its own way
+            pass
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import map_texts, table
+from .base import forget, map_texts, remembered, table
 
 #: White space as the normalizer's pattern has it.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -176,7 +176,7 @@ class WordBpe:
         return " ".join([self.strings[i] for i in ids if i in self.strings])
 
 
-@lru_cache(maxsize=2)
+@remembered
 def tokenizer(path: str) -> WordBpe:
     return WordBpe(path)
 
@@ -190,6 +190,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """
 
     def start():
+        forget(tokenizer)
         bpe = tokenizer(path)
 
         def work(texts: list[str]) -> list[pa.Array]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import bounded, keep, slices, table
+from .base import bounded, forget, keep, slices, table
 from .linking import connect, shared_buckets
 from .near_dup import across, mix
 
@@ -98,6 +98,7 @@ def _sketched(classes: DataFrame) -> DataFrame:
     """The classes with n, the size of their line's set, and its bucket keys (null for a line that is one short shingle)."""
 
     def run(batches):
+        forget()
         for batch in batches:
             for part in _slices(batch, batch.num_columns - 1):
                 values = gram_sets(part.column(part.num_columns - 1).to_pylist())
@@ -114,6 +115,7 @@ def _alike(pairs: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) of the rows (a, b, line_a, line_b) whose sets are as similar as percent tells."""
 
     def run(batches):
+        forget()
         for batch in batches:
             for part in _slices(batch, 2, 3):
                 sides = [gram_sets(part.column(i).to_pylist()) for i in (2, 3)]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import bounded, keep, map_texts, slices, table
+from .base import bounded, forget, keep, map_texts, slices, table
 from .linking import blocks, connect, shared_buckets
 
 #: Registers: BANDS * ROWS. All bands miss with probability (1 - 0.85 ** 6) ** 32 < 3e-7 at a similarity of 0.85, and
@@ -144,6 +144,8 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n, f1, f2, keys): the size and a 128-bit fingerprint of each set, and the keys of its register bands."""
 
     def start():
+        forget()
+
         def work(texts: list[str]) -> list[pa.Array]:
             sets = shingle_sets(texts, size)
             ends = np.arange(len(sets) + 1, dtype=np.int32) * BANDS
@@ -158,6 +160,8 @@ def _leaders(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     """(node, n, regs, text) for each of the classes (node, doc_id, n, f1, f2): one text that has its set."""
 
     def start():
+        forget()
+
         def work(texts: list[str]) -> list[pa.Array]:
             sets = shingle_sets(texts, size)
             return [*_prints(sets), pa.array([r.tobytes() for r in registers(sets)], pa.binary()), pa.array(texts, pa.string())]

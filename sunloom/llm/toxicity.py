@@ -11,7 +11,6 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
@@ -19,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import keep, map_texts, table
+from .base import forget, keep, map_texts, remembered, table
 
 #: Labelled rows that the model is fitted on at most, by smallest hash of doc_id; its terms, and its context words, at most.
 TRAIN_ROWS, TERMS, AROUND = 20_000, 4_000, 2_000
@@ -137,7 +136,7 @@ class Lexicon:
         return words, [(i, *self.hits[w]) for i, w in enumerate(words) if w in self.hits]
 
 
-@lru_cache(maxsize=2)
+@remembered
 def lexicon(terms: tuple, ordinary: frozenset[str]) -> Lexicon:
     """One for each worker, so tasks that follow each other share what it remembers."""
     return Lexicon(dict(terms), ordinary)
@@ -200,6 +199,7 @@ def learn_terms(train: DataFrame, bad: int, good: int) -> tuple[dict[str, float]
     key = tuple(sorted(terms.items()))
 
     def alike(batches):
+        forget(lexicon)
         lex = lexicon(key, frozenset())
         for b in batches:
             own = [w for w in b.column(0).to_pylist() if (hit := lex.look(w)) and hit[1]]
@@ -254,6 +254,7 @@ def scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col:
     key = tuple(sorted(terms.items()))
 
     def start():
+        forget(lexicon)
         lex = lexicon(key, ordinary)
         return lambda texts: [pa.array([features(lex, around, t) for t in texts], pa.list_(pa.float64()))]
 

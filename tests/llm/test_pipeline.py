@@ -61,3 +61,19 @@ def test_run(spark, corpus):
     # The lines of documents 6 and 7 are near copies of earlier ones, so these stay without text.
     kept = [r["doc_id"] for r in docs.collect() if not (r["doc_id"] or 0) in range(100, 200) and r["text"] != PASSAGE]
     assert ids == sorted(kept, key=str)
+
+
+def test_workers_drop_what_the_stage_before_remembers():
+    from sunloom.llm import line_dup
+    from sunloom.llm.base import forget
+    from sunloom.llm.toxicity import lexicon
+
+    class Pairs:  # runs the function on no batches, in this process
+        def mapInArrow(self, run, schema):
+            return list(run(iter([])))
+
+    lexicon((("ugly", 3.0),), frozenset())
+    forget(lexicon)
+    assert lexicon.cache_info().currsize == 1
+    line_dup._alike(Pairs(), 80)
+    assert lexicon.cache_info().currsize == 0  # it stayed in memory for all stages that followed
