@@ -78,10 +78,31 @@ def forget(*own: Callable) -> None:
         x.cache_clear()
     if others:
         gc.collect()
+        trim()
+
+
+def trim() -> None:
+    """Gives the memory that this process holds but doesn't use back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library, which gives memory back in its own way
+        pass
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker's free memory goes back to the system.
+
+    Workers stay for later tasks, also of stages that run in the JVM alone, and would hold the peak of all tasks till then.
+    """
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another C library, which gives memory back in its own way
-            pass
+            yield from run(batches)
+        finally:
+            trim()
+
+    return go
 
 
 def ascii_lower(text: Column) -> Column:
@@ -109,7 +130,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, start: Callable[[], Cal
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column(0), *work(part.column(1).to_pylist())], names=[id_col, *names])
 
-    return df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).mapInArrow(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, {schema}")
+    return df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).mapInArrow(tidied(run), f"{id_col} {df.schema[id_col].dataType.simpleString()}, {schema}")
 
 
 def slices(texts: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]:

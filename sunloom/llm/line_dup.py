@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import bounded, forget, keep, slices, table
+from .base import bounded, forget, keep, slices, table, tidied
 from .linking import connect, shared_buckets
 from .near_dup import across, mix
 
@@ -108,7 +108,7 @@ def _sketched(classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.maximum(n, 1).astype(np.int32)), keys], names=[*part.schema.names[:-1], "n", "keys"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema.fields[:-1])
-    return classes.mapInArrow(run, f"{fields}, n int, keys array<bigint>")
+    return classes.mapInArrow(tidied(run), f"{fields}, n int, keys array<bigint>")
 
 
 def _alike(pairs: DataFrame, percent: int) -> DataFrame:
@@ -124,7 +124,7 @@ def _alike(pairs: DataFrame, percent: int) -> DataFrame:
                 total, same = count(both), count(both[1:][both[1:] == both[:-1]])
                 yield part.select([0, 1]).filter(pa.array((same > 0) & (same * 100 >= (total - same) * percent)))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(tidied(run), "a long, b long")
 
 
 def _lines(docs: DataFrame) -> DataFrame:

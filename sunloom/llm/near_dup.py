@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import bounded, forget, keep, map_texts, slices, table
+from .base import bounded, forget, keep, map_texts, slices, table, tidied
 from .linking import blocks, connect, shared_buckets
 
 #: Registers: BANDS * ROWS. All bands miss with probability (1 - 0.85 ** 6) ** 32 < 3e-7 at a similarity of 0.85, and
@@ -26,7 +26,7 @@ M = BANDS * ROWS
 #: Base of the register scale, and the natural logarithm of the largest minimum that a register tells apart.
 BASE, TOP = 1.001, 8.0
 #: Bytes of texts that are sketched together.
-SLICE = 1_000_000
+SLICE = 250_000
 #: Standard errors by which an estimate may fall short of the threshold before a pair is given up unverified.
 SLACK = 7.0
 
@@ -246,7 +246,7 @@ def across(told: DataFrame, lead: DataFrame, load: Callable[[list[tuple]], tuple
         if held and (out := done()) is not None:
             yield out
 
-    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node").mapInArrow(tidied(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -286,9 +286,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         side = lambda x, *cols: lead.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
         full = pairs.join(side("a", "n"), "a").join(side("b", "n"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
         full = full.select("a", "b").join(side("a", "regs", "n"), "a").join(side("b", "regs", "n"), "b")
-        near = keep(full.select("a", "b", "regs_a", "regs_b", "n_a", "n_b").mapInArrow(guess, "a long, b long"))
+        near = keep(full.select("a", "b", "regs_a", "regs_b", "n_a", "n_b").mapInArrow(tidied(guess), "a long, b long"))
         both = near.join(side("a", "text"), "a").join(side("b", "text"), "b").select("a", "b", "text_a", "text_b")
-        return both.mapInArrow(confirm, "a long, b long")
+        return both.mapInArrow(tidied(confirm), "a long, b long")
 
     fits = lambda a, b: F.least(f"n{a}", f"n{b}") * 100 >= F.greatest(f"n{a}", f"n{b}") * percent
     load = lambda rows: (bands(np.frombuffer(b"".join(r[0] for r in rows), np.uint16).reshape(-1, M)), shingle_sets([r[1] for r in rows], size))

@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import forget, keep, map_texts, remembered, table
+from .base import forget, keep, map_texts, remembered, table, tidied
 
 #: Labelled rows that the model is fitted on at most, by smallest hash of doc_id; its terms, and its context words, at most.
 TRAIN_ROWS, TERMS, AROUND = 20_000, 4_000, 2_000
@@ -171,7 +171,7 @@ def _counted(train: DataFrame, units) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([y] * len(own), pa.int32()), pa.array(list(own.values()), pa.int64())], names=["unit", "y", "n"])
 
     one = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
-    return train.select("text", "y").mapInArrow(count, "unit string, y int, n long").groupBy("unit").agg(one(1).alias("a"), one(0).alias("b"))
+    return train.select("text", "y").mapInArrow(tidied(count), "unit string, y int, n long").groupBy("unit").agg(one(1).alias("a"), one(0).alias("b"))
 
 
 def _words_and_stems() -> callable:
@@ -205,7 +205,7 @@ def learn_terms(train: DataFrame, bad: int, good: int) -> tuple[dict[str, float]
             own = [w for w in b.column(0).to_pylist() if (hit := lex.look(w)) and hit[1]]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.string())], names=["unit"])
 
-    near = units.where("b >= 2 AND NOT endswith(unit, '*')").select("unit").mapInArrow(alike, "unit string")
+    near = units.where("b >= 2 AND NOT endswith(unit, '*')").select("unit").mapInArrow(tidied(alike), "unit string")
     return terms, frozenset(r["unit"] for r in near.collect())  # neighbours of at most TERMS words
 
 

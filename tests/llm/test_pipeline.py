@@ -77,3 +77,35 @@ def test_workers_drop_what_the_stage_before_remembers():
     assert lexicon.cache_info().currsize == 1
     line_dup._alike(Pairs(), 80)
     assert lexicon.cache_info().currsize == 0  # it stayed in memory for all stages that followed
+
+
+def test_workers_give_memory_back_after_a_task(spark, monkeypatch):
+    import os
+
+    import numpy as np
+    import pyarrow as pa
+    from sunloom.llm import base
+
+    def used():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+
+    pins, runs = [], []
+
+    def start():
+        def work(texts):
+            rows = []
+            for _ in range(4_000):  # 200 MB in pieces, among which some small ones stay
+                rows.append(np.ones(50_000, np.uint8))
+                pins.append(np.ones(100, np.uint8))
+            return [pa.array([len(rows)] * len(texts), pa.int64())]
+
+        return work
+
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: runs.append(run))
+    base.map_texts(docs, "doc_id", "text", start, "n long")
+    before = used()
+    out = [*runs[0](iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a"])], names=["doc_id", "text"])]))]
+    assert out[0].column(1).to_pylist() == [4_000]
+    assert used() - before < 100  # all of it stayed with the worker
