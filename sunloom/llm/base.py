@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -43,9 +44,34 @@ def keep(df: DataFrame) -> DataFrame:
     shared(df.sparkSession)
     out, spark = df.checkpoint(eager=True), df.sparkSession
     del df
+    _clean(spark)
+    return out
+
+
+def _clean(spark: SparkSession) -> None:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return out
+
+
+def write(df: DataFrame) -> str:
+    """Writes a frame as Parquet in the folder that the cluster shares; gives its path.
+
+    It takes less disk there than keep(), as checkpoints are not compressed, but stays until remove(). Of the shuffle files
+    before it what keep() says holds.
+    """
+    spark = df.sparkSession
+    shared(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    del df
+    _clean(spark)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Rows of ids up to which a side is broadcast (some 100 MB at most); beyond, Spark's joins shuffle.

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import bounded, keep, slices, table
+from .base import bounded, keep, remove, slices, table, tidied, write
 
 #: Bytes of a string, and of an anchor gram; bytes of shards that are sorted together at least; cuts of a shard at most.
 SPAN, GRAM, CHUNK, HOT = 50, 24, 200_000, 2_000
@@ -192,7 +192,7 @@ def _mapped(df: DataFrame, run, schema: str) -> DataFrame:
                 out = run(*[c.to_pylist() for c in b.slice(lo, hi - lo).columns])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
-    return df.mapInArrow(go, schema)
+    return df.mapInArrow(tidied(go), schema)
 
 
 def _of_round(turn: tuple[int, int], data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -288,26 +288,35 @@ def _halves(cuts: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.xxhash64("key", core)).select("id", *_SHARD, "before", "cut", "first", "last")
 
 
-def _lows(classes: DataFrame) -> DataFrame:
-    """(id, before, lows) for the cuts of classes: for each of its strings the smallest document that has it.
+def _lows(classes: DataFrame) -> list[str]:
+    """Paths of rows (id, before, lows) for the cuts of classes: for each of its strings the smallest document that has it.
 
     A cut can come in several rows, each for the strings that begin `before` bytes before the anchor, and behind. A shard
     whose cuts are all of one document is left out: nothing is shared there.
     """
-    cuts, found = classes.select("id", F.col("fp").alias("key"), F.lit(0).alias("low"), F.lit(SIDE).alias("high"), "before", "cut", "first", "last"), []
+    # What is read more than once is written, so that texts are joined once and no shuffle outlives its step.
+    spark, found = classes.sparkSession, []
+    read = spark.read.parquet
+    dealt = write(classes.select("id", F.col("fp").alias("key"), F.lit(0).alias("low"), F.lit(SIDE).alias("high"), "before", "cut", "first", "last"))
+    del classes
     while True:
+        cuts = read(dealt)
         own = cuts.groupBy(*_SHARD, "before", "cut").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-        own = keep(own.withColumn("cid", F.monotonically_increasing_id()))  # kept, so the ids stay
+        different = write(own.withColumn("cid", F.monotonically_increasing_id()))  # written, so the ids stay
+        own = read(different)
         sizes = own.groupBy(*_SHARD).agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("a"), F.max("last").alias("b")).where("a < b")
         sizes = keep(sizes.select(*_SHARD, "n"))
         ready = own.join(sizes.where(f"n <= {HOT}").drop("n"), _SHARD).where(f"length(cut) >= {SPAN}").select("cid", *_SHARD, "before", "cut", "first")
-        lows = ready.repartition(*_SHARD).sortWithinPartitions(*_SHARD).mapInArrow(_sorted_shards, "cid long, lows array<long>")
+        lows = write(ready.repartition(*_SHARD).sortWithinPartitions(*_SHARD).mapInArrow(tidied(_sorted_shards), "cid long, lows array<long>"))
         of = cuts.join(own.select(*_SHARD, "before", "cut", "cid"), [*_SHARD, "before", "cut"]).select("id", "before", "cid")
-        found.append(keep(of.join(lows, "cid").drop("cid")))
+        found.append(write(of.join(read(lows), "cid").drop("cid")))
+        remove(spark, lows)
+        remove(spark, different)
         hot = sizes.where(f"n > {HOT}").drop("n")
-        if hot.isEmpty():
-            return reduce(DataFrame.unionByName, found)
-        cuts = keep(_halves(cuts.join(hot, _SHARD)))
+        done, dealt = dealt, None if hot.isEmpty() else write(_halves(cuts.join(hot, _SHARD)))
+        remove(spark, done)
+        if dealt is None:
+            return found
 
 
 def _kept(ids, rows, texts, spans):
@@ -326,12 +335,35 @@ def _kept(ids, rows, texts, spans):
     return out
 
 
+def _merged(batches):
+    """Rows (doc_id, row, spans) with the spans in order, and those that overlap or touch made one."""
+    for batch in batches:
+        lists = batch.column(2)
+        owner, pairs = np.repeat(np.arange(len(lists)), np.diff(lists.offsets)), lists.flatten()
+        a, b = (x.to_numpy(zero_copy_only=False) for x in pairs.flatten())
+        far = int(b.max(initial=0)) + 1  # a row's spans are moved behind those of the rows before
+        order = np.argsort(a + owner * far, kind="stable")
+        a, b, owner = a[order], np.maximum.accumulate((b + owner * far)[order]), owner[order]
+        first = np.flatnonzero(np.r_[True, (a + owner * far)[1:] > b[:-1]]) if len(a) else np.zeros(0, np.int64)
+        last = np.r_[first[1:], len(a)][: len(first)] - 1
+        runs = pa.StructArray.from_arrays([pa.array(a[first], pa.int64()), pa.array(b[last] - owner[last] * far, pa.int64())], names=["a", "b"])
+        ends = np.r_[0, np.cumsum(np.bincount(owner[first], minlength=len(lists)))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), runs)], names=["doc_id", "row", "spans"])
+
+
 def _spans_of_round(own: DataFrame, turn: tuple[int, int], piece: int) -> DataFrame:
-    """(doc_id, row, spans array<(a, b)>): bytes a to b - 1 are covered by strings of smaller documents."""
+    """(doc_id, row, spans array<(a, b)>): bytes a to b - 1 are covered by strings of smaller documents.
+
+    A document's spans are merged. Places are written as Parquet, which takes a part of the disk of checkpoints, and are
+    removed when nothing reads them any more.
+    """
+    spark = own.sparkSession
     prints = _mapped(own, _prints(turn), "doc_id long, fp long")
     common = bounded(prints.groupBy("fp").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("fp"))
     places = _mapped(own, _places(turn, piece), "doc_id long, row long, fp long, anchor long, left int, right int, context long")
-    places = keep(places.join(common, "fp", "left_semi"))
+    drawn = write(places.join(common, "fp", "left_semi"))
+    del common
+    places = spark.read.parquet(drawn)
     cut = ["fp", "left", "right", "context"]
     classes = places.groupBy(*cut).agg(F.min(F.struct("doc_id", "row", "anchor")).alias("at"), F.max("doc_id").alias("last"))
     classes = keep(classes.withColumn("id", F.monotonically_increasing_id()))  # kept, so the ids stay
@@ -340,18 +372,24 @@ def _spans_of_round(own: DataFrame, turn: tuple[int, int], piece: int) -> DataFr
     bytes_of = classes.join(several, "fp", "left_semi").select("id", "fp", F.col("left").alias("before"), "right", F.col("at.doc_id").alias("first"), "last", F.col("at.row").alias("row"), F.col("at.anchor").alias("anchor"))
     bytes_of = bounded(bytes_of).join(own.select(F.col("doc_id").alias("first"), "row", "data"), ["first", "row"])
     start, length = F.col("anchor") - F.col("before") + 1, F.col("before") + F.col("right") + GRAM
-    lows = _lows(bytes_of.select("id", "fp", "before", F.substr("data", start.cast("int"), length.cast("int")).alias("cut"), "first", "last").dropDuplicates(["id"]))
-    mine = places.join(classes.select("id", *cut, F.col("at.doc_id").alias("first")), cut).select("id", "doc_id", "row", "anchor", "left", "right", "first")
-    single = mine.join(several.join(classes.select("fp", "id"), "fp").select("id"), "id", "left_anti").where(f"first < doc_id AND left + right >= {SIDE}")
-    one = single.select("doc_id", "row", F.array(F.struct((F.col("anchor") - F.col("left")).alias("a"), (F.col("anchor") + GRAM + F.col("right")).alias("b"))).alias("spans"))
+    found = _lows(bytes_of.select("id", "fp", "before", F.substr("data", start.cast("int"), length.cast("int")).alias("cut"), "first", "last").dropDuplicates(["id"]))
+    least = classes.join(several.select("fp", F.lit(True).alias("several")), "fp", "left").select("id", *cut, F.col("at.doc_id").alias("first"), F.col("several").isNotNull().alias("several"))
+    joined = write(places.join(least, cut).where(f"several OR (first < doc_id AND left + right >= {SIDE})").select("id", "doc_id", "row", "anchor", "left", "right", "first", "several"))
+    remove(spark, drawn)
+    mine = spark.read.parquet(joined)
+    one = mine.where("NOT several").select("doc_id", "row", F.array(F.struct((F.col("anchor") - F.col("left")).alias("a"), (F.col("anchor") + GRAM + F.col("right")).alias("b"))).alias("spans"))
     # The runs of strings that a smaller document has.
     less = lambda i: F.coalesce(F.get("lows", i) < F.col("doc_id"), F.lit(False))
     number = F.sequence(F.lit(0), F.size("lows") - 1)
     begin = F.filter(number, lambda i: less(i) & ~less(i - 1))
     end = F.filter(number, lambda i: less(i) & ~less(i + 1))
     base = F.col("anchor") - F.col("before")
-    more = mine.join(lows, "id").select("doc_id", "row", F.zip_with(begin, end, lambda a, b: F.struct((base + a).alias("a"), (base + b + SPAN).alias("b"))).alias("spans")).where(F.size("spans") > 0)
-    return keep(one.unionByName(more))
+    more = mine.where("several").join(spark.read.parquet(*found), "id").select("doc_id", "row", F.zip_with(begin, end, lambda a, b: F.struct((base + a).alias("a"), (base + b + SPAN).alias("b"))).alias("spans")).where(F.size("spans") > 0)
+    spans = one.unionByName(more).groupBy("doc_id", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = keep(spans.mapInArrow(tidied(_merged), "doc_id long, row long, spans array<struct<a:bigint,b:bigint>>"))
+    for path in (joined, *found):
+        remove(spark, path)
+    return spans
 
 
 def repeated(docs: DataFrame, rounds: int = ROUNDS, piece: int = PIECE) -> DataFrame:

@@ -59,3 +59,23 @@ def test_repeated(spark, monkeypatch):
         got = {r[0]: tuple(r[1:]) for r in out}
         assert got.pop(None)[1:3] == (0, 0) and got == want
     assert S.repeated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_spans_of_a_round_are_one_row_a_document(spark):
+    rng = random.Random(5)
+    text, other = ("".join(rng.choices("abcdefgh ", k=3000)) for _ in range(2))
+    docs = spark.createDataFrame([(0, text), (1, text), (2, f"{text[:1000]}#{other}#{text[2000:]}"), (3, other)], "doc_id long, text string")
+    own = docs.selectExpr("doc_id", "0L AS row", "encode(text, 'UTF-8') AS data")
+    # Each place of an anchor had a row of its own, some hundreds a document, and all of them were kept on disk.
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in S._spans_of_round(own, (0, 1), S.PIECE).collect()}
+    assert got == {1: [(0, 3000)], 2: [(0, 1000), (4002, 5002)], 3: [(0, 3000)]}
+    assert S._spans_of_round(own, (0, 1), S.PIECE).count() == 3
+
+
+def test_merged():
+    import pyarrow as pa
+
+    spans = [[(5, 60), (0, 50), (60, 70), (72, 80)], [], [(3, 9)], [(10, 90), (20, 70), (80, 95)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(range(4)), pa.array([[{"a": a, "b": b} for a, b in x] for x in spans], pa.list_(pa.struct({"a": pa.int64(), "b": pa.int64()})))], names=["doc_id", "row", "spans"])
+    (out,) = S._merged(iter([batch]))
+    assert [[tuple(s.values()) for s in x] for x in out.column(2).to_pylist()] == [[(0, 70), (72, 80)], [], [(3, 9)], [(10, 95)]]
