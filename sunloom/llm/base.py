@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -53,6 +54,15 @@ def _clean(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def clean(spark: SparkSession, wait: float = 1.0) -> None:
+    """Asks once more for what keep() and write() ask for, when Spark's listeners, which hold the last query, had some time.
+
+    It is meant for large shuffles that must be gone before the next step.
+    """
+    time.sleep(wait)
+    _clean(spark)
+
+
 def write(df: DataFrame) -> str:
     """Writes a frame as Parquet in the folder that the cluster shares; gives its path.
 

@@ -79,3 +79,57 @@ def test_merged():
     batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(range(4)), pa.array([[{"a": a, "b": b} for a, b in x] for x in spans], pa.list_(pa.struct({"a": pa.int64(), "b": pa.int64()})))], names=["doc_id", "row", "spans"])
     (out,) = S._merged(iter([batch]))
     assert [[tuple(s.values()) for s in x] for x in out.column(2).to_pylist()] == [[(0, 70), (72, 80)], [], [(3, 9)], [(10, 95)]]
+
+
+def test_places_are_not_rows(spark, monkeypatch):
+    rng = random.Random(6)
+    text = "".join(rng.choices("abcdefgh ", k=20_000))
+    own = spark.createDataFrame([(i, text) for i in range(20)], "doc_id long, text string").selectExpr("doc_id", "0L AS row", "encode(text, 'UTF-8') AS data")
+    written, write = [], S.write
+    monkeypatch.setattr(S, "write", lambda df: (written.append(df.count()), write(df))[1])
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in S._spans_of_round(own, (0, 1), S.PIECE).collect()}
+    assert got == {i: [(0, 20_000)] for i in range(1, 20)}
+    # Each place of an anchor was a row that was shuffled and joined on its own, over 20,000 of them here.
+    assert max(written) < 1_000
+
+
+def test_suffixes_by_their_first_symbols():
+    import numpy as np
+
+    rng = random.Random(7)
+    s = bytes(rng.choices(b"ab", k=400)) + b"c" * 60
+    for depth in (1, 8, 13, 50):
+        order, new = S.suffixes(np.frombuffer(s, np.uint8), 256, depth)
+        prefixes = [s[i : i + depth] for i in order]
+        assert sorted(order) == list(range(len(s))) and prefixes == sorted(prefixes)
+        assert new.tolist() == [True, *(a.ljust(depth, b"\0") != b.ljust(depth, b"\0") for a, b in zip(prefixes, prefixes[1:], strict=False))]
+    cuts = [s[:90], s[30:120], s[200:280], s[10:70]]
+    place, cut, low = S.first_docs(np.frombuffer(b"".join(cuts), np.uint8), np.cumsum([len(c) for c in cuts]), np.array([7, 5, 9, 8]))
+    first = {}
+    for doc, c in zip((7, 5, 9, 8), cuts, strict=True):
+        for p in range(len(c) - 49):
+            first[c[p : p + 50]] = min(doc, first.get(c[p : p + 50], doc))
+    data = b"".join(cuts)
+    assert len(place) == sum(len(c) - 49 for c in cuts) and all(low == [first[data[p : p + 50]] for p in place])
+
+
+def test_a_bucket_in_parts_gives_the_same(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    parts = ["".join(rng.choices("abcd ", k=90)) for _ in range(6)]
+    texts = ["".join(rng.choice(parts) + "".join(rng.choices("xyz", k=3)) for _ in range(8)).encode() for _ in range(40)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([0] * 40), pa.array(texts)], names=["doc_id", "row", "data"])
+    dealt = pa.Table.from_batches(b for i in range(0, 40, 5) for b in S._dealt((0, 1), S.PIECE)(iter([rows.slice(i, 5)]))).sort_by("bucket").combine_chunks().to_batches()
+
+    def run(many):
+        monkeypatch.setattr(S, "MANY", many)
+        out = {True: [], False: []}
+        for b in S._settled(iter(dealt)):
+            for asked, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                out[asked] += np.frombuffer(data, S._ASK if asked else S._GONE).tolist()
+        return {k: sorted(v) for k, v in out.items()}
+
+    whole = run(1_000_000)
+    assert whole[True] and whole[False] and run(2) == whole
